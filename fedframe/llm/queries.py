@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sentencepiece_codec
+from . import minhash, mixing, sentencepiece_codec
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,6 +40,11 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None
     return decoded.select("facts.doc_id", "facts.n_tokens", "facts.ids_sha256", F.sha2(F.col("decoded"), 256).alias("decoded_sha256"), "facts.n_bytes_covered")
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents: five words, similarity 0.75."""
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix all documents to the weights 5, 2, 1."""
     return mixing.mix(_table(spark, sf_dir, "documents"))
@@ -48,11 +53,13 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op2_sentencepiece": op2_sentencepiece,
+        "op6_minhash": op6_minhash,
         "op8_mixing": op8_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op6_minhash": minhash.NEAR_SQL,
         "op8_mixing": mixing.MIX_SQL,
     }
