@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, mixing, sentencepiece_codec
+from . import minhash, mixing, quality, secret_scan, sentencepiece_codec
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,14 @@ def tokenizer(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: counts and a digest of the base kinds, and all spans."""
+    found = secret_scan.scan(_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["order"] < len(secret_scan.BASE_RULES))
+    of_kind = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[of_kind(r.kind) for r in secret_scan.BASE_RULES], F.sha2(secret_scan.span_text(base), 256).alias("base_sha256"), secret_scan.span_text(F.col("spans")).alias("spans"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
     """Encode and decode every document; digests of ids and decoded text, and the bytes that the spans cover."""
     model = model or tokenizer("piece_bpe_32k.model")
@@ -50,11 +58,18 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of every document, with cutoffs certified per language on labelled good documents."""
+    return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op1_secrets": op1_secrets,
         "op2_sentencepiece": op2_sentencepiece,
         "op6_minhash": op6_minhash,
         "op8_mixing": op8_mixing,
+        "op10_quality": op10_quality,
     }
 
 
