@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, mixing, quality, secret_scan, sentencepiece_codec
+from . import minhash, mixing, quality, secret_scan, sentencepiece_codec, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,6 +53,21 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how near they are.
+
+    n_near: for documents whose id is divisible by 20, the documents with another
+    fingerprint within three bits, searched among all; null for the rest.
+    """
+    prints = simhash.materialise(simhash.compare_edits(_table(spark, sf_dir, "documents")), "prints")
+    rows = prints.select(F.col("own").alias("fingerprint"))
+    near = simhash.search(rows, prints.where("id % 20 = 0").select(F.col("own").alias("fingerprint"))).groupBy("query").agg(F.sum("n").alias("found"))
+    out = prints.join(near, F.when(F.col("id") % 20 == 0, F.col("own")) == F.col("query"), "left")
+    text = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
+    n_near = F.when(F.col("id") % 20 == 0, F.coalesce("found", F.lit(0)))
+    return out.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", text("own").alias("fingerprint"), text("edited").alias("edited_fingerprint"), "near_edited", "near_next", n_near.alias("n_near"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix all documents to the weights 5, 2, 1."""
     return mixing.mix(_table(spark, sf_dir, "documents"))
@@ -68,6 +83,7 @@ def queries() -> dict[str, Query]:
         "op1_secrets": op1_secrets,
         "op2_sentencepiece": op2_sentencepiece,
         "op6_minhash": op6_minhash,
+        "op7_simhash": op7_simhash,
         "op8_mixing": op8_mixing,
         "op10_quality": op10_quality,
     }
