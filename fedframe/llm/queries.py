@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, mixing, quality, secret_scan, sentencepiece_codec, simhash
+from . import langid, minhash, mixing, quality, secret_scan, sentencepiece_codec, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,6 +73,15 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op9_langid(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    """The language of every document, learned from those that are not held out."""
+    vocabulary = vocabulary or tokenizer("piece_bpe_32k.model")
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(~langid.held_out()), vocabulary)
+    found = langid.identify(docs.select("doc_id", "text"), model, vocabulary)
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdicts of every document, with cutoffs certified per language on labelled good documents."""
     return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -85,6 +94,7 @@ def queries() -> dict[str, Query]:
         "op6_minhash": op6_minhash,
         "op7_simhash": op7_simhash,
         "op8_mixing": op8_mixing,
+        "op9_langid": op9_langid,
         "op10_quality": op10_quality,
     }
 
