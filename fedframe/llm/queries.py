@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, minhash, mixing, quality, secret_scan, sentencepiece_codec, simhash
+from . import chat, langid, minhash, mixing, quality, secret_scan, sentencepiece_codec, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,6 +48,24 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None
     return decoded.select("facts.doc_id", "facts.n_tokens", "facts.ids_sha256", F.sha2(F.col("decoded"), 256).alias("decoded_sha256"), "facts.n_bytes_covered")
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Format all conversations and one of control strings, and read turns and loss back from the output."""
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
+    formatted = chat.format_chats(rows.unionByName(extra))
+    # One more projection, as the parts are used twice.
+    parts = formatted.select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss(F.col("formatted"), F.col("loss")).alias("loss"))
+    return parts.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: five words, similarity 0.75."""
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -91,6 +109,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_secrets": op1_secrets,
         "op2_sentencepiece": op2_sentencepiece,
+        "op3_chat": op3_chat,
         "op6_minhash": op6_minhash,
         "op7_simhash": op7_simhash,
         "op8_mixing": op8_mixing,
@@ -101,6 +120,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_chat": chat.CHAT_SQL,
         "op6_minhash": minhash.NEAR_SQL,
         "op8_mixing": mixing.MIX_SQL,
     }
