@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, minhash, mixing, quality, secret_scan, sentencepiece_codec, simhash
+from . import chat, common, langid, minhash, mixing, quality, secret_scan, sentencepiece_codec, sharding, simhash, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,6 +66,40 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """Count every document, apply three edits to it (a word replaced at a third, one put in at two thirds, the
+    last ten characters taken out) and bring the count up to date; n_encoded is what that encoded again."""
+    import public_tokenizers
+
+    path, pattern = path or tokenizer("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    counted = token_counts.count(docs, path, pattern, keep=("doc_id", "text"))
+    n, by = F.length("text"), F.concat(F.lit(" edit"), F.col("doc_id").cast("string"))
+    edit = lambda start, stop, put: F.struct(start.cast("long").alias("start"), stop.cast("long").alias("stop"), put.alias("put"))
+    edits = F.array(edit(F.floor(n / 3), F.floor(n / 3) + 6, by), edit(F.floor(2 * n / 3), F.floor(2 * n / 3), F.lit("ed.\n new")), edit(n - 10, n, F.lit("")))
+    ready = counted.select(F.struct("doc_id", F.col("n_tokens").alias("before")).alias("facts"), "text", "leaf_chars", "leaf_tokens", edits.alias("edits"))
+    after = token_counts.recount(ready, path, pattern, keep=("facts",))
+    return after.select("facts.doc_id", F.col("facts.before").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_edited"), F.sha2("text", 256).alias("edited_sha256"), F.size("leaf_chars").cast("long").alias("n_leaves_edited"), "n_encoded")
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Append all documents as small shards, compact them and read the last version back.
+
+    For each document: a digest of its text, how many rows the store has of it,
+    and whether its shard is as the manifest says and of at most the target size.
+    """
+    store = sharding.ShardStore(spark, common.scratch_path(spark, "shards"))
+    store.append(_table(spark, sf_dir, "documents"))
+    store.compact()
+    store.vacuum()
+    rows = store.read().select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), F.regexp_extract(F.col("_metadata.file_path"), r"data/[^/]+/[^/]+$", 0).alias("shard"))
+    facts = store.shards()
+    found = rows.groupBy("shard").agg(F.count("*").alias("found")).join(facts, "shard")
+    good = found.select("shard", ((F.col("found") == F.col("rows")) & (F.col("bytes") <= store.target)).alias("shard_ok"))
+    copies = rows.groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n_copies"), F.min("shard").alias("shard"))
+    return copies.join(good, "shard", "left").select("doc_id", "text_sha256", "n_copies", F.coalesce("shard_ok", F.lit(False)).alias("shard_ok"))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: five words, similarity 0.75."""
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -110,6 +144,8 @@ def queries() -> dict[str, Query]:
         "op1_secrets": op1_secrets,
         "op2_sentencepiece": op2_sentencepiece,
         "op3_chat": op3_chat,
+        "op4_token_counts": op4_token_counts,
+        "op5_sharding": op5_sharding,
         "op6_minhash": op6_minhash,
         "op7_simhash": op7_simhash,
         "op8_mixing": op8_mixing,
@@ -121,6 +157,8 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_chat": chat.CHAT_SQL,
+        "op5_sharding": """SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256, count(*) AS n_copies, true AS shard_ok
+            FROM documents GROUP BY ALL""",
         "op6_minhash": minhash.NEAR_SQL,
         "op8_mixing": mixing.MIX_SQL,
     }
