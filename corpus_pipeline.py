@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from fedframe.llm import langid, minhash, mixing, secret_scan, sentencepiece_codec
 from fedframe.llm.common import materialise
 from fedframe.llm.queries import tokenizer
+from fedframe.shipping import ship
 
 #: Below this share of the probability a language is not believed. With every letter
 #: evidence, only texts of a few letters that suit several languages come near it.
@@ -21,6 +22,7 @@ LEAST_SCORE = 0.3
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: texts without a letter or a believable language go; lang becomes the prediction."""
+    ship(spark)
     vocabulary = tokenizer("piece_bpe_32k.model")
     model = langid.train(docs.where(~langid.held_out()), vocabulary)
     found = langid.identify(docs, model, vocabulary, keep=tuple(docs.columns))
@@ -30,6 +32,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """MinHash near-dedup: of each component the document with the smallest id stays."""
+    ship(spark)
     kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
     return docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
 
@@ -55,6 +58,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SentencePiece: the ids of every document, and whether they decode to its text."""
+    ship(spark)
     model = tokenizer("piece_bpe_32k.model")
     encoded = sentencepiece_codec.encode(docs, model, keep=("lang", "source", "text"))
     facts = encoded.select(F.struct("doc_id", "lang", "source", "text", "ids").alias("facts"), "ids")
