@@ -1,0 +1,463 @@
+"""The registered queries: each in the dialect, beside DuckDB SQL for the same rows.
+
+Ties and order: rows are compared without order, so only queries with a limit end
+their order in a unique key. Money sums are rounded, as doubles add up differently
+in another order. Integers that Spark has as int are cast, so that types agree.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from .engine import Engine
+from .operators.ai import AiConfig
+from .operators.key_join import key_join
+from .sources import JdbcConnection, MemoryConnection, ParquetConnection, SqliteConnection
+from .streaming import events as event_streams
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+#: name: (dialect, DuckDB SQL; null where it is the same but for `find` and brackets)
+TEXTS: dict[str, tuple[str, str]] = {
+    # --- scans and projections
+    "scan_star_nation": ("find nation", "SELECT * FROM nation"),
+    "scan_star_from": ("find * from region", "SELECT * FROM region"),
+    "project_alias": ("find [c_custkey as id, c_name as name, c_acctbal] from customer", "SELECT c_custkey AS id, c_name AS name, c_acctbal FROM customer"),
+    "project_arith": (
+        "find [l_orderkey, l_partkey, l_suppkey, l_linenumber, round(l_extendedprice * (1 - l_discount) + l_tax - -1, 4) as v, l_quantity % 7 as m, l_extendedprice / nullif(l_discount, 0) as d, l_quantity / 0 as z] from lineitem",
+        "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(l_extendedprice * (1 - l_discount) + l_tax + 1, 4) AS v, l_quantity % 7 AS m, l_extendedprice / nullif(l_discount, 0) AS d, CAST(NULL AS DOUBLE) AS z FROM lineitem",
+    ),
+    "project_qualified": ("find [n.n_name, n.n_regionkey] from nation as n", "SELECT n_name, n_regionkey FROM nation"),
+    "project_star_of": ("find [n.*, r.r_name] from nation n join region r on n.n_regionkey = r.r_regionkey", "SELECT n.*, r.r_name FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey"),
+    "project_without_source": ("find [1 as a, \"x\" as b, 1_000.5 as c, true as d, null as e]", "SELECT 1 AS a, 'x' AS b, 1000.5::DOUBLE AS c, true AS d, NULL AS e"),
+    "distinct_segment": ("find distinct [c_mktsegment, c_nationkey] from customer", "SELECT DISTINCT c_mktsegment, c_nationkey FROM customer"),
+    "literal_types": (
+        "find [r_regionkey, 7::int as i, 2.5 as f, \"it's\" as s, false as b, \"2001-02-03 04:05:06\"::timestamp as t] from region",
+        "SELECT r_regionkey, 7::BIGINT AS i, 2.5::DOUBLE AS f, 'it''s' AS s, false AS b, TIMESTAMP '2001-02-03 04:05:06' AS t FROM region",
+    ),
+    # --- filters
+    "filter_eq": ("find [o_orderkey] from orders where o_orderstatus = \"F\"", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'"),
+    "filter_neq": ("find [o_orderkey] from orders where o_orderstatus != \"F\" and o_orderpriority <> \"1-URGENT\"", "SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F' AND o_orderpriority <> '1-URGENT'"),
+    "filter_range_ts": (
+        "find [o_orderkey, o_orderdate] from orders where o_orderdate >= \"1996-01-01\"::timestamp and o_orderdate < \"1996-04-01\"::timestamp",
+        "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate >= '1996-01-01' AND o_orderdate < '1996-04-01'",
+    ),
+    "filter_and_or_paren": (
+        "find [l_orderkey, l_linenumber, l_quantity] from lineitem where (l_returnflag = \"A\" or l_returnflag = \"R\") and (l_quantity > 45 or l_discount <= 0.01)",
+        "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_returnflag IN ('A', 'R') AND (l_quantity > 45 OR l_discount <= 0.01)",
+    ),
+    "filter_not": ("find [c_custkey] from customer where not c_mktsegment = \"BUILDING\"", "SELECT c_custkey FROM customer WHERE NOT (c_mktsegment = 'BUILDING')"),
+    "filter_between": ("find [p_partkey, p_size] from part where p_size between 10 and 20 and p_retailprice not between 1000 and 1500", "SELECT p_partkey, p_size FROM part WHERE p_size BETWEEN 10 AND 20 AND p_retailprice NOT BETWEEN 1000 AND 1500"),
+    "filter_in_list": ("find [n_name] from nation where n_nationkey in (1, 3, 5, 99)", "SELECT n_name FROM nation WHERE n_nationkey IN (1, 3, 5, 99)"),
+    "filter_not_in_list": ("find [n_name] from nation where n_name not in (\"NATION_1\", \"NATION_2\")", "SELECT n_name FROM nation WHERE n_name NOT IN ('NATION_1', 'NATION_2')"),
+    "filter_like": ("find [p_partkey, p_name] from part where p_name like \"%1_\" and p_brand not like \"%3\"", "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%1_' AND p_brand NOT LIKE '%3'"),
+    "filter_ilike": ("find [n_nationkey] from nation where n_name ilike \"nation_1%\"", "SELECT n_nationkey FROM nation WHERE n_name ILIKE 'nation_1%'"),
+    "filter_is_null_after_outer": (
+        "find [o.o_orderkey] from orders o left join lineitem l on o.o_orderkey = l.l_orderkey where l.l_orderkey is null",
+        "SELECT o.o_orderkey FROM orders o LEFT JOIN lineitem l ON o.o_orderkey = l.l_orderkey WHERE l.l_orderkey IS NULL",
+    ),
+    "filter_is_not_null": ("find [p_partkey] from part where nullif(p_size, 1) is not null", "SELECT p_partkey FROM part WHERE nullif(p_size, 1) IS NOT NULL"),
+    "filter_eq_null": ("find [p_partkey] from part where nullif(p_size, 1) = null", "SELECT p_partkey FROM part WHERE nullif(p_size, 1) IS NULL"),
+    "filter_interval": (
+        "find [o_orderkey] from orders where o_orderdate > \"2001-08-01\"::timestamp - 30d and o_orderdate + 2mon < \"2001-09-25\"::timestamp + 1w",
+        "SELECT o_orderkey FROM orders WHERE o_orderdate > TIMESTAMP '2001-08-01' - INTERVAL 30 DAY AND o_orderdate + INTERVAL 2 MONTH < TIMESTAMP '2001-09-25' + INTERVAL 7 DAY",
+    ),
+    "filter_bool_column": ("find [x.k] from (find [p_partkey as k, p_size > 25 as big] from part) as x where x.big", "SELECT p_partkey AS k FROM part WHERE p_size > 25"),
+    # --- scalar expressions
+    "case_searched": (
+        "find [o_orderkey, case when o_totalprice > 300000 then \"high\" when o_totalprice > 100000 then \"mid\" else \"low\" end as band] from orders",
+        "SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN 'high' WHEN o_totalprice > 100000 THEN 'mid' ELSE 'low' END AS band FROM orders",
+    ),
+    "case_simple": ("find [o_orderkey, case o_orderstatus when \"F\" then 1 when \"O\" then 2 end as code] from orders", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 END AS code FROM orders"),
+    "case_in_where": (
+        "find [c_custkey] from customer where case when c_mktsegment = \"BUILDING\" then c_acctbal > 0 else c_acctbal > 5000 end",
+        "SELECT c_custkey FROM customer WHERE CASE WHEN c_mktsegment = 'BUILDING' THEN c_acctbal > 0 ELSE c_acctbal > 5000 END",
+    ),
+    "case_order_by": (
+        "find [o_orderkey, o_orderstatus] from orders order by case o_orderstatus when \"P\" then 0 else 1 end, o_orderkey limit 50",
+        "SELECT o_orderkey, o_orderstatus FROM orders ORDER BY CASE o_orderstatus WHEN 'P' THEN 0 ELSE 1 END, o_orderkey LIMIT 50",
+    ),
+    "cast_fn": (
+        "find [p_partkey, cast(p_retailprice as int) as whole, cast(p_size as string) as s, cast(p_name as int) as bad, cast(p_size as float) as f] from part",
+        "SELECT p_partkey, CAST(trunc(p_retailprice) AS BIGINT) AS whole, CAST(p_size AS VARCHAR) AS s, TRY_CAST(p_name AS BIGINT) AS bad, CAST(p_size AS DOUBLE) AS f FROM part",
+    ),
+    "cast_op": ("find [n_nationkey::string as s, n_nationkey::string::int as i, (n_nationkey > 3)::string as b] from nation", "SELECT n_nationkey::VARCHAR AS s, n_nationkey::BIGINT AS i, (n_nationkey > 3)::VARCHAR AS b FROM nation"),
+    "coalesce_nullif_ifnull": (
+        "find [p_partkey, coalesce(nullif(p_size, 1), nullif(p_size, 2), 0) as a, ifnull(nullif(p_type, \"x\"), \"none\") as b, coalesce(null, 3) as c] from part",
+        "SELECT p_partkey, coalesce(nullif(p_size, 1), nullif(p_size, 2), 0) AS a, ifnull(nullif(p_type, 'x'), 'none') AS b, 3 AS c FROM part",
+    ),
+    "concat_op": ("find [n_nationkey, n_name || \"-\" || n_regionkey::string as a, n_name || null as b] from nation", "SELECT n_nationkey, n_name || '-' || n_regionkey::VARCHAR AS a, CAST(NULL AS VARCHAR) AS b FROM nation"),
+    "concat_fn_null": ("find [n_nationkey, concat(n_name, nullif(n_name, n_name), n_regionkey) as a] from nation", "SELECT n_nationkey, concat(n_name, n_regionkey) AS a FROM nation"),
+    "string_fns": (
+        "find [c_custkey, upper(c_name) as u, lower(c_name) as l, length(c_name)::int as n, replace(c_name, \"#\", \"-\") as r] from customer",
+        "SELECT c_custkey, upper(c_name) AS u, lower(c_name) AS l, length(c_name)::BIGINT AS n, replace(c_name, '#', '-') AS r FROM customer",
+    ),
+    "math_fns": (
+        "find [c_custkey, abs(c_acctbal) as a, round(c_acctbal, 1) as r, ceil(c_acctbal)::int as c, floor(c_acctbal)::int as f, power(c_nationkey, 2) as p, round(sqrt(abs(c_acctbal)), 6) as s] from customer",
+        "SELECT c_custkey, abs(c_acctbal) AS a, round(c_acctbal, 1) AS r, ceil(c_acctbal)::BIGINT AS c, floor(c_acctbal)::BIGINT AS f, power(c_nationkey, 2)::DOUBLE AS p, round(sqrt(abs(c_acctbal)), 6) AS s FROM customer",
+    ),
+    "date_trunc_group": (
+        "find [date_trunc(\"month\", o_orderdate) as month, count(*) as n, round(sum(o_totalprice), 2) as total] from orders group by month",
+        "SELECT date_trunc('month', o_orderdate) AS month, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1",
+    ),
+    "extract_year": ("find [extract(year from o_orderdate)::int as y, extract(month from o_orderdate)::int as m, count(*) as n] from orders group by y, m", "SELECT extract(year FROM o_orderdate) AS y, extract(month FROM o_orderdate) AS m, count(*) AS n FROM orders GROUP BY 1, 2"),
+    "array_object": (
+        "find [n_nationkey, to_json([n_nationkey, n_regionkey]) as a, to_json({k: n_nationkey, \"v\": n_name}) as o] from nation",
+        "SELECT n_nationkey, CAST(to_json([n_nationkey, n_regionkey]) AS VARCHAR) AS a, CAST(to_json({'k': n_nationkey, 'v': n_name}) AS VARCHAR) AS o FROM nation",
+    ),
+    "pass_through_fns": ("find [n_nationkey, reverse(n_name) as r, greatest(n_nationkey, n_regionkey) as g, lpad(n_name, 12, \"*\") as p] from nation", "SELECT n_nationkey, reverse(n_name) AS r, greatest(n_nationkey, n_regionkey) AS g, lpad(n_name, 12, '*') AS p FROM nation"),
+    # --- joins
+    "join_inner": ("find [o.o_orderkey, c.c_name] from orders o join customer c on o.o_custkey = c.c_custkey", "SELECT o.o_orderkey, c.c_name FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey"),
+    "join_left": (
+        "find [o.o_orderkey, l.l_partkey] from orders o left join lineitem l on o.o_orderkey = l.l_orderkey and l.l_quantity > 40",
+        "SELECT o.o_orderkey, l.l_partkey FROM orders o LEFT JOIN lineitem l ON o.o_orderkey = l.l_orderkey AND l.l_quantity > 40",
+    ),
+    "join_right": (
+        "find [l.l_partkey, o.o_orderkey] from lineitem l right join orders o on o.o_orderkey = l.l_orderkey",
+        "SELECT l.l_partkey, o.o_orderkey FROM lineitem l RIGHT JOIN orders o ON o.o_orderkey = l.l_orderkey",
+    ),
+    "join_full": (
+        "find [a.o_orderkey as a, b.o_orderkey as b] from (find orders where o_totalprice > 400000) as a full join (find orders where o_orderstatus = \"P\") as b on a.o_orderkey = b.o_orderkey",
+        "SELECT a.o_orderkey AS a, b.o_orderkey AS b FROM (SELECT * FROM orders WHERE o_totalprice > 400000) a FULL JOIN (SELECT * FROM orders WHERE o_orderstatus = 'P') b ON a.o_orderkey = b.o_orderkey",
+    ),
+    "join_cross": ("find [count(*) as n] from nation cross join region", "SELECT count(*) AS n FROM nation CROSS JOIN region"),
+    "join_cross_limit": ("find [count(*) as n] from (find [n_name, r_name] from nation cross join region limit 60) as x", "SELECT 60::BIGINT AS n"),
+    "join_comma": ("find [n.n_name, r.r_name] from nation n, region r where n.n_regionkey = r.r_regionkey", "SELECT n.n_name, r.r_name FROM nation n, region r WHERE n.n_regionkey = r.r_regionkey"),
+    "join_self": (
+        "find [a.n_name as a, b.n_name as b] from nation a join nation b on a.n_regionkey = b.n_regionkey and a.n_nationkey < b.n_nationkey",
+        "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey",
+    ),
+    "join_multi5": (
+        """find [n.n_name, round(sum(l.l_extendedprice * (1 - l.l_discount)), 2) as revenue] from customer c
+           join orders o on c.c_custkey = o.o_custkey join lineitem l on l.l_orderkey = o.o_orderkey
+           join supplier s on l.l_suppkey = s.s_suppkey and c.c_nationkey = s.s_nationkey
+           join nation n on s.s_nationkey = n.n_nationkey join region r on n.n_regionkey = r.r_regionkey
+           where r.r_name = "ASIA" and o.o_orderdate >= "1996-01-01"::timestamp group by n.n_name""",
+        """SELECT n.n_name, round(sum(l.l_extendedprice * (1 - l.l_discount)), 2) AS revenue FROM customer c
+           JOIN orders o ON c.c_custkey = o.o_custkey JOIN lineitem l ON l.l_orderkey = o.o_orderkey
+           JOIN supplier s ON l.l_suppkey = s.s_suppkey AND c.c_nationkey = s.s_nationkey
+           JOIN nation n ON s.s_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey
+           WHERE r.r_name = 'ASIA' AND o.o_orderdate >= '1996-01-01' GROUP BY n.n_name""",
+    ),
+    "join_theta": (
+        "find [a.n_nationkey as a, r.r_regionkey as b] from nation a join region r on a.n_regionkey < r.r_regionkey",
+        "SELECT a.n_nationkey AS a, r.r_regionkey AS b FROM nation a JOIN region r ON a.n_regionkey < r.r_regionkey",
+    ),
+    "join_compound_key": (
+        "find [l.l_orderkey, l.l_linenumber, p.p_name] from lineitem l join part p on l.l_partkey = p.p_partkey and l.l_linenumber = p.p_size",
+        "SELECT l.l_orderkey, l.l_linenumber, p.p_name FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey AND l.l_linenumber = p.p_size",
+    ),
+    "join_with_filters": (
+        "find [c.c_name, o.o_orderkey] from customer c inner join orders o on c.c_custkey = o.o_custkey where c.c_mktsegment = \"MACHINERY\" and o.o_totalprice > 250000",
+        "SELECT c.c_name, o.o_orderkey FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey WHERE c.c_mktsegment = 'MACHINERY' AND o.o_totalprice > 250000",
+    ),
+    # --- aggregation
+    "agg_global": (
+        "find [count(*) as n, count() as n2, count(o_custkey) as c, round(sum(o_totalprice), 2) as s, round(avg(o_totalprice), 4) as a, min(o_orderdate) as lo, max(o_orderdate) as hi] from orders",
+        "SELECT count(*) AS n, count(*) AS n2, count(o_custkey) AS c, round(sum(o_totalprice), 2) AS s, round(avg(o_totalprice), 4) AS a, min(o_orderdate) AS lo, max(o_orderdate) AS hi FROM orders",
+    ),
+    "agg_empty_input": ("find [count(*) as n, sum(o_totalprice) as s, min(o_orderkey) as m] from orders where o_orderkey < 0", "SELECT count(*) AS n, sum(o_totalprice) AS s, min(o_orderkey) AS m FROM orders WHERE o_orderkey < 0"),
+    "agg_default_names": ("find [c_mktsegment, count(*), max(c_acctbal)] from customer group by c_mktsegment", 'SELECT c_mktsegment, count(*) AS "count(*)", max(c_acctbal) AS "max(c_acctbal)" FROM customer GROUP BY 1'),
+    "agg_nulls": (
+        "find [count(nullif(p_size, 1)) as c, count_distinct(nullif(p_size, 1)) as d, min(nullif(p_size, 1)) as m, count(*) as n] from part",
+        "SELECT count(nullif(p_size, 1)) AS c, count(DISTINCT nullif(p_size, 1)) AS d, min(nullif(p_size, 1)) AS m, count(*) AS n FROM part",
+    ),
+    "agg_group_multi": ("find [l_returnflag, l_linestatus, count(*) as n, max(l_quantity) as m] from lineitem group by l_returnflag, l_linestatus", "SELECT l_returnflag, l_linestatus, count(*) AS n, max(l_quantity) AS m FROM lineitem GROUP BY 1, 2"),
+    "agg_group_expr": ("find [p_size % 5 as b, count(*) as n] from part group by p_size % 5", "SELECT p_size % 5 AS b, count(*) AS n FROM part GROUP BY 1"),
+    "agg_count_distinct": ("find [l_returnflag, count_distinct(l_partkey) as parts, count_distinct(l_suppkey) as supps] from lineitem group by l_returnflag", "SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS supps FROM lineitem GROUP BY 1"),
+    "agg_having_expr": ("find [o_custkey, count(*) as n] from orders group by o_custkey having count(*) > 12 and sum(o_totalprice) > 1000", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 12 AND sum(o_totalprice) > 1000"),
+    "agg_having_alias": ("find [o_custkey, count(*) as n] from orders group by o_custkey having n > 12", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 12"),
+    "agg_expr_of_aggs": (
+        "find [l_returnflag, round(sum(l_extendedprice) * 100.0 / count(*), 2) as v, round((max(l_tax) - min(l_tax)) / 2, 6) as h] from lineitem group by l_returnflag",
+        "SELECT l_returnflag, round(sum(l_extendedprice) * 100.0 / count(*), 2) AS v, round((max(l_tax) - min(l_tax)) / 2, 6) AS h FROM lineitem GROUP BY 1",
+    ),
+    "agg_join": (
+        "find [c.c_mktsegment, count(*) as n, round(avg(o.o_totalprice), 3) as a] from customer c join orders o on c.c_custkey = o.o_custkey group by c.c_mktsegment",
+        "SELECT c.c_mktsegment, count(*) AS n, round(avg(o.o_totalprice), 3) AS a FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey GROUP BY 1",
+    ),
+    "agg_stddev": ("find [l_returnflag, round(stddev_samp(l_quantity), 6) as s] from lineitem group by l_returnflag", "SELECT l_returnflag, round(stddev_samp(l_quantity), 6) AS s FROM lineitem GROUP BY 1"),
+    "pricing_summary": (
+        """find [l_returnflag, l_linestatus, sum(l_quantity) as sum_qty, round(sum(l_extendedprice), 2) as sum_base,
+            round(sum(l_extendedprice * (1 - l_discount)), 2) as sum_disc, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) as sum_charge,
+            round(avg(l_quantity), 6) as avg_qty, round(avg(l_discount), 6) as avg_disc, count(*) as n]
+           from lineitem where l_shipdate <= "2001-09-02"::timestamp group by l_returnflag, l_linestatus order by l_returnflag, l_linestatus""",
+        """SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base,
+            round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) AS sum_charge,
+            round(avg(l_quantity), 6) AS avg_qty, round(avg(l_discount), 6) AS avg_disc, count(*) AS n
+           FROM lineitem WHERE l_shipdate <= '2001-09-02' GROUP BY 1, 2""",
+    ),
+    "agg_pct_total": (
+        "find [o_orderstatus, round(sum(o_totalprice) * 100.0 / sum(sum(o_totalprice)) over (), 4) as pct] from orders group by o_orderstatus",
+        "SELECT o_orderstatus, round(sum(o_totalprice) * 100.0 / sum(sum(o_totalprice)) OVER (), 4) AS pct FROM orders GROUP BY 1",
+    ),
+    # --- windows
+    "win_row_number": (
+        "find [o_orderkey, cast(row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as int) as rn] from orders",
+        "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders",
+    ),
+    "win_rank": ("find [p_partkey, cast(rank() over (partition by p_brand order by p_size) as int) as r] from part", "SELECT p_partkey, rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS r FROM part"),
+    "win_dense_rank": ("find [p_partkey, cast(dense_rank() over (partition by p_brand order by p_size desc) as int) as r] from part", "SELECT p_partkey, dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size DESC) AS r FROM part"),
+    "win_lag": ("find [event_id, lag(value) over (partition by user_id order by ts, event_id) as p, lag(event_id, 2) over (partition by user_id order by ts, event_id) as p2] from events", "SELECT event_id, lag(value) OVER w AS p, lag(event_id, 2) OVER w AS p2 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"),
+    "win_lead": ("find [event_id, lead(event_type, 1) over (partition by user_id order by ts, event_id) as x] from events", "SELECT event_id, lead(event_type, 1) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS x FROM events"),
+    "win_first_value": ("find [o_orderkey, first_value(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as f] from orders", "SELECT o_orderkey, first_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS f FROM orders"),
+    "win_last_value": ("find [o_orderkey, last_value(o_totalprice) over (partition by o_custkey order by o_orderdate, o_orderkey) as f] from orders", "SELECT o_orderkey, last_value(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS f FROM orders"),
+    "win_nth_value": ("find [o_orderkey, nth_value(o_orderkey, 2) over (partition by o_custkey order by o_orderdate, o_orderkey) as f] from orders", "SELECT o_orderkey, nth_value(o_orderkey, 2) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS f FROM orders"),
+    "win_running_total": ("find [o_orderkey, round(sum(o_totalprice) over (partition by o_custkey order by o_orderdate, o_orderkey), 2) as t] from orders", "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), 2) AS t FROM orders"),
+    "win_partition_avg_diff": ("find [c_custkey, round(c_acctbal - avg(c_acctbal) over (partition by c_mktsegment), 4) as d] from customer", "SELECT c_custkey, round(c_acctbal - avg(c_acctbal) OVER (PARTITION BY c_mktsegment), 4) AS d FROM customer"),
+    "win_named": (
+        "find [o_orderkey, count(*) over w as n, cast(rank() over w as int) as r] from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey)",
+        "SELECT o_orderkey, count(*) OVER w AS n, rank() OVER w AS r FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)",
+    ),
+    "win_topn_per_group": (
+        "find [x.o_custkey, x.o_orderkey] from (find [o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as rn] from orders) as x where x.rn <= 3",
+        "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) WHERE rn <= 3",
+    ),
+    "win_frame": (
+        "find [event_id, round(sum(value) over (partition by user_id order by ts, event_id rows between 2 preceding and current row), 4) as s] from events",
+        "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS s FROM events",
+    ),
+    # --- order and limits
+    "sort_multi": ("find [c_custkey, c_mktsegment, c_acctbal] from customer order by c_mktsegment desc, c_acctbal, c_custkey limit 100", "SELECT c_custkey, c_mktsegment, c_acctbal FROM customer ORDER BY c_mktsegment DESC, c_acctbal, c_custkey LIMIT 100"),
+    "sort_nulls_last": (
+        "find [p_partkey, nullif(p_size, 1) as s] from part order by s asc nulls last, p_partkey desc limit 1990",
+        "SELECT p_partkey, nullif(p_size, 1) AS s FROM part ORDER BY s ASC NULLS LAST, p_partkey DESC LIMIT 1990",
+    ),
+    "sort_nulls_default": ("find [p_partkey, nullif(p_size, 1) as s] from part order by s, p_partkey limit 60", "SELECT p_partkey, nullif(p_size, 1) AS s FROM part ORDER BY s ASC NULLS FIRST, p_partkey LIMIT 60"),
+    "limit_offset": ("find [o_orderkey] from orders order by o_orderkey limit 20 offset 35", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 20 OFFSET 35"),
+    "offset_only": ("find [n_nationkey] from nation order by n_nationkey offset 20", "SELECT n_nationkey FROM nation ORDER BY n_nationkey OFFSET 20"),
+    "topk": ("find [o_orderkey, o_totalprice] from orders order by o_totalprice desc, o_orderkey limit 10", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10"),
+    # --- set operations
+    "set_union": ("find [c_nationkey as k] from customer union find [s_nationkey as k] from supplier", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier"),
+    "set_union_all": ("find [c_nationkey as k] from customer union all find [s_nationkey as k] from supplier", "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier"),
+    "set_intersect": ("find [o_orderkey as k] from orders where o_totalprice > 200000 intersect find [l_orderkey as k] from lineitem where l_quantity > 45", "SELECT o_orderkey AS k FROM orders WHERE o_totalprice > 200000 INTERSECT SELECT l_orderkey FROM lineitem WHERE l_quantity > 45"),
+    "set_except": ("find [o_orderkey as k] from orders except find [l_orderkey as k] from lineitem", "SELECT o_orderkey AS k FROM orders EXCEPT SELECT l_orderkey FROM lineitem"),
+    "set_chain3": (
+        "find [n_nationkey as k] from nation union find [r_regionkey + 100 as k] from region except find [c_nationkey as k] from customer where c_acctbal > 9000",
+        "(SELECT n_nationkey AS k FROM nation UNION SELECT r_regionkey + 100 FROM region) EXCEPT SELECT c_nationkey FROM customer WHERE c_acctbal > 9000",
+    ),
+    "set_precedence_order": (
+        "find [n_nationkey as k] from nation where n_nationkey < 3 union all find [n_nationkey as k] from nation intersect find [r_regionkey as k] from region order by k desc limit 5",
+        "SELECT * FROM (SELECT n_nationkey AS k FROM nation WHERE n_nationkey < 3 UNION ALL (SELECT n_nationkey FROM nation INTERSECT SELECT r_regionkey FROM region)) ORDER BY k DESC LIMIT 5",
+    ),
+    # --- subqueries
+    "sub_scalar": ("find [o_orderkey] from orders where o_totalprice > (find [avg(o_totalprice) * 1.8] from orders)", "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) * 1.8 FROM orders)"),
+    "sub_scalar_corr_select": (
+        "find [c.c_custkey, (find [max(o.o_totalprice)] from orders o where o.o_custkey = c.c_custkey) as top] from customer c",
+        "SELECT c.c_custkey, (SELECT max(o.o_totalprice) FROM orders o WHERE o.o_custkey = c.c_custkey) AS top FROM customer c",
+    ),
+    "sub_in": ("find [c_custkey] from customer where c_custkey in (find [o_custkey] from orders where o_totalprice > 400000)", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)"),
+    "sub_not_in": ("find [c_custkey] from customer where c_custkey not in (find [o_custkey] from orders where o_totalprice > 300000)", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)"),
+    "sub_exists": (
+        "find [o.o_orderkey] from orders o where exists (find [1] from lineitem l where l.l_orderkey = o.o_orderkey and l.l_quantity > 48)",
+        "SELECT o.o_orderkey FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_quantity > 48)",
+    ),
+    "sub_not_exists": (
+        "find [o.o_orderkey] from orders o where not exists (find lineitem l where l.l_orderkey = o.o_orderkey)",
+        "SELECT o.o_orderkey FROM orders o WHERE NOT EXISTS (SELECT * FROM lineitem l WHERE l.l_orderkey = o.o_orderkey)",
+    ),
+    "sub_any": ("find [c_custkey] from customer where c_acctbal > any (find [s_acctbal] from supplier where s_nationkey = 3)", "SELECT c_custkey FROM customer WHERE c_acctbal > ANY (SELECT s_acctbal FROM supplier WHERE s_nationkey = 3)"),
+    "sub_all": ("find [c_custkey] from customer where c_acctbal > all (find [s_acctbal] from supplier where s_nationkey = 3)", "SELECT c_custkey FROM customer WHERE c_acctbal > ALL (SELECT s_acctbal FROM supplier WHERE s_nationkey = 3)"),
+    "sub_eq_some": ("find [n_name] from nation where n_nationkey = some (find [c_nationkey] from customer where c_acctbal > 9900)", "SELECT n_name FROM nation WHERE n_nationkey = ANY (SELECT c_nationkey FROM customer WHERE c_acctbal > 9900)"),
+    "sub_neq_all": ("find [n_name] from nation where n_nationkey != all (find [c_nationkey] from customer where c_acctbal > 9900)", "SELECT n_name FROM nation WHERE n_nationkey <> ALL (SELECT c_nationkey FROM customer WHERE c_acctbal > 9900)"),
+    "sub_derived": (
+        "find [x.k, x.n] from (find [o_custkey as k, count(*) as n] from orders group by o_custkey) as x where x.n > 14",
+        "SELECT k, n FROM (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1) WHERE n > 14",
+    ),
+    "sub_in_case": (
+        "find [c_custkey, case when c_custkey in (find [o_custkey] from orders where o_totalprice > 400000) then 1 else 0 end as big] from customer",
+        "SELECT c_custkey, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000) THEN 1 ELSE 0 END AS big FROM customer",
+    ),
+    # --- common table expressions
+    "cte_basic": ("with big as (find orders where o_totalprice > 350000) find [o_orderkey, o_custkey] from big", "SELECT o_orderkey, o_custkey FROM orders WHERE o_totalprice > 350000"),
+    "cte_chain": (
+        """with paid as (find [o_custkey, o_totalprice] from orders where o_orderstatus = "F"),
+                totals as (find [o_custkey, sum(o_totalprice) as revenue] from paid group by o_custkey)
+           find [c.c_name, round(t.revenue, 2) as revenue] from totals t join customer c on t.o_custkey = c.c_custkey where t.revenue > 1000000""",
+        """WITH t AS (SELECT o_custkey, sum(o_totalprice) AS revenue FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
+           SELECT c.c_name, round(t.revenue, 2) AS revenue FROM t JOIN customer c ON t.o_custkey = c.c_custkey WHERE t.revenue > 1000000""",
+    ),
+    "cte_columns": ("with x(a, b) as (find [n_nationkey, n_name] from nation) find [a, b] from x where a > 10", "SELECT n_nationkey AS a, n_name AS b FROM nation WHERE n_nationkey > 10"),
+    "cte_setop": ("with x as (find [n_regionkey as k] from nation union find [r_regionkey as k] from region) find [count(*) as n] from x", "SELECT count(*) AS n FROM (SELECT n_regionkey FROM nation UNION SELECT r_regionkey FROM region)"),
+    "cte_recursive": (
+        """with recursive tree(k, parent, depth) as (find [n_nationkey, 0 - 1, 0] from nation where n_nationkey = 0
+             union all find [n.n_nationkey, t.k, t.depth + 1] from nation n join tree t on floor((n.n_nationkey - 1) / 2) = t.k where n.n_nationkey > 0)
+           find [k, depth] from tree""",
+        """WITH RECURSIVE tree(k, depth) AS (SELECT n_nationkey, 0 FROM nation WHERE n_nationkey = 0
+             UNION ALL SELECT n.n_nationkey, t.depth + 1 FROM nation n JOIN tree t ON floor((n.n_nationkey - 1) / 2) = t.k WHERE n.n_nationkey > 0)
+           SELECT k, depth FROM tree""",
+    ),
+    # --- scripts
+    "params": (":low = 200000; :status = \"F\"; find [o_orderkey] from orders where o_totalprice > :low + 50000 and o_orderstatus = :status", "SELECT o_orderkey FROM orders WHERE o_totalprice > 250000 AND o_orderstatus = 'F'"),
+    "comments_and_scripts": ("-- one\nfind region; /* two /* nested */ */ find [count(*) as n] from nation;", "SELECT count(*) AS n FROM nation"),
+    "show_tables": ("show tables", "SELECT * FROM (VALUES ('benchmark'), ('conversations'), ('customer'), ('documents'), ('embeddings'), ('events'), ('labels'), ('lineitem'), ('nation'), ('orders'), ('pages'), ('part'), ('region'), ('supplier')) t(table_name)"),
+    "describe": ("describe region", "SELECT * FROM (VALUES ('r_regionkey', 'int', 'YES', ''), ('r_name', 'string', 'YES', '')) t(column_name, data_type, nullable, is_pk)"),
+    "describe_unknown": ("describe nowhere", "SELECT '' AS column_name, '' AS data_type, '' AS nullable, '' AS is_pk WHERE false"),
+    "events_json_prop": ("find [event_id, get_json_object(props, \"$.k\")::int as k] from events", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events"),
+}
+
+
+def _reading(spark: SparkSession, sf_dir: str, **options) -> Engine:
+    return Engine(spark, [ParquetConnection(spark, "pq", sf_dir)], **options)
+
+
+def _from_text(text: str) -> Query:
+    return lambda spark, sf_dir: _reading(spark, sf_dir).sql(text)
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, for tables that queries change."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fedframe-")
+    return f"{base.rstrip('/')}/fedframe/work-{uuid.uuid4().hex}"
+
+
+def _writing(spark: SparkSession, sf_dir: str) -> Engine:
+    """An engine over the tables and, as `w`, an empty folder for new ones."""
+    engine = _reading(spark, sf_dir)
+    engine.add(ParquetConnection(spark, "w", _scratch(spark)))
+    return engine
+
+
+def _script(text: str) -> Query:
+    return lambda spark, sf_dir: _writing(spark, sf_dir).sql(text)
+
+
+#: Statements that change tables; each ends by reading the table back.
+SCRIPTS: dict[str, tuple[str, str]] = {
+    "dml_insert_rows": (
+        """create table t@w (id int primary key, name string not null, note string default "none", price float);
+           create t@w {id: 1, name: "a"}; create t@w [{id: 2, name: "b", price: 2.5}, {name: "c", id: 3, note: null}]; find t@w""",
+        "SELECT * FROM (VALUES (1::BIGINT, 'a', 'none', NULL::DOUBLE), (2, 'b', 'none', 2.5), (3, 'c', NULL, NULL)) t(id, name, note, price)",
+    ),
+    "dml_insert_select_readback": (
+        "create table t@w (k int, v string); create t@w (find [n_nationkey as k, n_name as v] from nation where n_regionkey = 1); find t@w",
+        "SELECT n_nationkey::BIGINT AS k, n_name AS v FROM nation WHERE n_regionkey = 1",
+    ),
+    "dml_update_readback": (
+        "find customer >> t@w; update t@w set c_acctbal = c_acctbal + 100, c_mktsegment = \"X\" where c_nationkey in (find [n_nationkey] from nation@pq where n_regionkey = 2); find [c_custkey, round(c_acctbal, 2) as c_acctbal, c_mktsegment] from t@w",
+        "SELECT c_custkey, round(CASE WHEN hit THEN c_acctbal + 100 ELSE c_acctbal END, 2) AS c_acctbal, CASE WHEN hit THEN 'X' ELSE c_mktsegment END AS c_mktsegment FROM (SELECT *, c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2) AS hit FROM customer)",
+    ),
+    "dml_delete_readback": (
+        "find [p_partkey, nullif(p_size, 1) as s] from part >> t@w; remove t@w where s > 20; find t@w",
+        "SELECT p_partkey, nullif(p_size, 1) AS s FROM part WHERE NOT coalesce(nullif(p_size, 1) > 20, false)",
+    ),
+    "persist_append_twice": ("find [n_nationkey, n_name] from nation >> t@w; find [n_nationkey, n_name] from nation where n_nationkey < 5 >> t@w; find t@w", "SELECT n_nationkey, n_name FROM nation UNION ALL SELECT n_nationkey, n_name FROM nation WHERE n_nationkey < 5"),
+    "persist_conflict_ignore": (
+        "create table t@w (k int primary key, v string); create t@w {k: 1, v: \"old\"}; find [n_nationkey as k, n_name as v] from nation >> t@w insert if exists on conflict ignore; find t@w",
+        "SELECT n_nationkey::BIGINT AS k, CASE WHEN n_nationkey = 1 THEN 'old' ELSE n_name END AS v FROM nation",
+    ),
+    "persist_conflict_replace": (
+        "create table t@w (k int primary key, v string); create t@w [{k: 1, v: \"old\"}, {k: 99, v: \"kept\"}]; find [n_nationkey as k, n_name as v] from nation >> t@w insert if exists on conflict replace; find t@w",
+        "SELECT n_nationkey::BIGINT AS k, n_name AS v FROM nation UNION ALL SELECT 99, 'kept'",
+    ),
+    "persist_with_cte": ("with x as (find nation where n_regionkey = 0) find [n_name] from x >> t@w; find t@w", "SELECT n_name FROM nation WHERE n_regionkey = 0"),
+    "ddl_alter_roundtrip": (
+        """find [n_nationkey, n_name, n_regionkey] from nation >> t@w; alter table t@w add column extra string default "e"; alter table t@w drop column n_regionkey;
+           alter table t@w rename column n_name to title; alter table t@w alter column n_nationkey type string; alter table t@w rename to u; find u@w""",
+        "SELECT n_nationkey::VARCHAR AS n_nationkey, n_name AS title, 'e' AS extra FROM nation",
+    ),
+    "ddl_drop_and_databases": (
+        "create database if not exists d@w; create table d.t@w (a int); drop table d.t@w; drop table if exists d.t@w cascade; drop database d@w; drop database if exists d@w; create table s@w (a int); show tables @w",
+        "SELECT 's' AS table_name",
+    ),
+    "rows_affected": ("find nation >> t@w; update t@w set n_name = \"x\" where n_regionkey = 3", "SELECT count(*) AS rows_affected FROM nation WHERE n_regionkey = 3"),
+}
+
+
+def _federated(spark: SparkSession, sf_dir: str) -> Engine:
+    """Parquet tables beside a database (nation, region), a SQLite file (supplier) and the session (part).
+
+    The database and the file are made anew for each call, on the driver's disk: in
+    production they would be servers, here they are read where the driver runs.
+    """
+    engine = _reading(spark, sf_dir)
+    home = tempfile.mkdtemp(prefix="fedframe-")
+    db = engine.add(JdbcConnection(spark, f"db{uuid.uuid4().hex[:8]}", "derby", f"jdbc:derby:memory:fed{uuid.uuid4().hex};create=true"))
+    engine.connections["db"] = db
+    lite = engine.add(SqliteConnection(spark, "lite", f"{home}/supplier.db"))
+    engine.add(MemoryConnection(spark, "mem", {"part": engine.table("part@pq")}))
+    for conn, table, key, columns in ((db, "nation", "NATION", "n_nationkey as N_NATIONKEY, n_name as N_NAME, n_regionkey as N_REGIONKEY"), (db, "region", "REGION", "r_regionkey as R_REGIONKEY, r_name as R_NAME")):
+        engine.sql(f"find [{columns}] from {table}@pq >> {key}@db")
+    engine.sql("find supplier@pq >> supplier@lite")
+    assert lite.tables() == ["supplier"]
+    return engine
+
+
+def _fed(text: str) -> Query:
+    return lambda spark, sf_dir: _federated(spark, sf_dir).sql(text)
+
+
+FEDERATED: dict[str, tuple[str, str]] = {
+    "fed_join_parquet_jdbc": (
+        "find [c.c_custkey, n.N_NAME as n_name] from customer@pq c join NATION@db n on c.c_nationkey = n.N_NATIONKEY where n.N_REGIONKEY = 2 and c.c_acctbal > 0",
+        "SELECT c.c_custkey, n.n_name FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey WHERE n.n_regionkey = 2 AND c.c_acctbal > 0",
+    ),
+    "fed_left_join": (
+        "find [n.N_NAME as n_name, s.s_suppkey] from NATION@db n left join supplier@lite s on n.N_NATIONKEY = s.s_nationkey and s.s_acctbal > 9000",
+        "SELECT n.n_name, s.s_suppkey FROM nation n LEFT JOIN supplier s ON n.n_nationkey = s.s_nationkey AND s.s_acctbal > 9000",
+    ),
+    "fed_full_join": (
+        "find [a.R_NAME as r_name, s.s_suppkey] from REGION@db a full join supplier@lite s on a.R_REGIONKEY = s.s_nationkey",
+        "SELECT a.r_name, s.s_suppkey FROM region a FULL JOIN supplier s ON a.r_regionkey = s.s_nationkey",
+    ),
+    "fed_triple": (
+        "find [n.N_NAME as n_name, count(*) as k, round(sum(l.l_extendedprice), 2) as v] from lineitem@pq l join supplier@lite s on l.l_suppkey = s.s_suppkey join NATION@db n on s.s_nationkey = n.N_NATIONKEY join part@mem p on p.p_partkey = l.l_partkey where p.p_size < 10 group by n.N_NAME",
+        "SELECT n.n_name, count(*) AS k, round(sum(l.l_extendedprice), 2) AS v FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN nation n ON s.s_nationkey = n.n_nationkey JOIN part p ON p.p_partkey = l.l_partkey WHERE p.p_size < 10 GROUP BY 1",
+    ),
+    "fed_cte": (
+        "with rich as (find supplier@lite where s_acctbal > 5000), n as (find [N_NATIONKEY as k, N_NAME as name] from NATION@db) find [n.name, count(*) as c] from rich join n on rich.s_nationkey = n.k group by n.name",
+        "SELECT n.n_name AS name, count(*) AS c FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey WHERE s.s_acctbal > 5000 GROUP BY 1",
+    ),
+    "fed_aggregate_pushed": ("find [N_REGIONKEY as k, count(*) as n] from NATION@db group by N_REGIONKEY", "SELECT n_regionkey::BIGINT AS k, count(*) AS n FROM nation GROUP BY 1"),
+    "fed_cross_with_limit": ("find [count(*) as n] from (find [r.R_NAME, s.s_suppkey] from REGION@db r cross join supplier@lite s limit 7) as x", "SELECT 7::BIGINT AS n"),
+    "fed_persist_to_jdbc": ("find [s_suppkey as K, s_name as V] from supplier@lite where s_nationkey < 5 >> T2@db; find T2@db", "SELECT s_suppkey AS K, s_name AS V FROM supplier WHERE s_nationkey < 5"),
+}
+
+
+def _fed_key_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keys of a filtered Parquet side become a filter in the database's scan."""
+    engine = _federated(spark, sf_dir)
+    small = engine.sql("find [s_suppkey, s_nationkey] from supplier@lite where s_acctbal > 9500")
+    return key_join(small, engine.table("NATION@db"), "s_nationkey", "N_NATIONKEY").selectExpr("s_suppkey", "N_NAME AS n_name")
+
+
+def _echo(url: str, headers: dict, body: dict, timeout: float) -> dict:
+    """Stands for a model endpoint: the prompt's length, or a failure for every region of A."""
+    prompt = body["messages"][0]["content"]
+    if prompt.startswith("A"):
+        raise RuntimeError("refused")
+    return {"choices": [{"message": {"content": f"{body['model']}:{len(prompt)}"}}]}
+
+
+def _ai_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = _reading(spark, sf_dir, models={"m": AiConfig("m", "openai", "http://nowhere", model="echo")}, transport=_echo)
+    return engine.sql('find [r_regionkey, ai_query("m", nullif(r_name, "ASIA")) as answer, ai_query("m", "other", concat(r_name, "!")) as second, r_name] from region')
+
+
+def _explain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reading(spark, sf_dir).sql("explain find [o_orderkey] from orders where o_totalprice > 100").where("plan like '-- connections%'").select("plan")
+
+
+def queries() -> dict[str, Query]:
+    made = {name: _from_text(text) for name, (text, _) in TEXTS.items()}
+    made |= {name: _script(text) for name, (text, _) in SCRIPTS.items()}
+    made |= {name: _fed(text) for name, (text, _) in FEDERATED.items()}
+    return made | {"fed_key_join": _fed_key_join, "ai_query_fake_transport": _ai_query, "explain": _explain, "stream_tumbling_counts": event_streams.tumbling_counts, "stream_sessions": event_streams.sessions}
+
+
+def oracle_sql() -> dict[str, str]:
+    made = {name: sql for group in (TEXTS, SCRIPTS, FEDERATED) for name, (_, sql) in group.items()}
+    return made | {
+        "fed_key_join": "SELECT s.s_suppkey, n.n_name FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey WHERE s.s_acctbal > 9500",
+        "ai_query_fake_transport": """SELECT r_regionkey, r_name,
+            CASE WHEN r_name = 'ASIA' THEN NULL WHEN r_name LIKE 'A%' THEN '[AI Error: RuntimeError: refused]' ELSE 'echo:' || length(r_name) END AS answer,
+            CASE WHEN r_name LIKE 'A%' THEN '[AI Error: RuntimeError: refused]' ELSE 'other:' || (length(r_name) + 1) END AS second FROM region""",
+        "explain": "SELECT '-- connections: pq' AS plan",
+        "stream_tumbling_counts": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
+        "stream_sessions": """WITH a AS (SELECT *, coalesce(ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE, true) AS fresh FROM events),
+            b AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM a)
+            SELECT user_id, min(ts) AS start, count(*) AS n FROM b GROUP BY user_id, session""",
+    }
