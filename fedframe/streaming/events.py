@@ -16,7 +16,8 @@ def read(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     """A folder (or file) of Parquet events, whole or file by file as they arrive."""
     if not stream:
         return spark.read.parquet(path)
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 8).parquet(path)
+    rows = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 8).parquet(path)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))  # watermarks need instants
 
 
 def per_window(events: DataFrame, size: str = "1 hour") -> DataFrame:
