@@ -167,3 +167,31 @@ def judge(
     for name in cutoffs:
         bad = bad | F.coalesce(_value(name) > F.col(f"cut_{name}"), F.lit(False))
     return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~bad).alias("kept"))
+
+
+def quality_sql(cutoffs: dict[str, tuple[float, ...]] | None = None, risk: float = RISK, confidence: float = CONFIDENCE) -> str:
+    """judge() over documents and labels in DuckDB SQL."""
+    cutoffs = CUTOFFS if cutoffs is None else cutoffs
+    shares = {"symbol_share": "n_symbols / greatest(word_chars, 1)", "dup_line_share": "n_dup_lines / greatest(n_lines, 1)", "repeat_share": "n_repeat_words / greatest(n_words, 1)", "mean_word_length": "word_chars / greatest(n_words, 1)"}
+    tests, p = sum(map(len, cutoffs.values())), risk / len(cutoffs)
+    grid = ", ".join(f"('{name}', CAST({cut!r} AS DOUBLE))" for name, cuts in cutoffs.items() for cut in cuts)
+    value = "CASE name " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in shares.items()) + " END"
+    bad = " OR ".join(f"coalesce({shares[k]} > (SELECT min(cut) FROM passed c WHERE c.name = '{k}' AND c.stratum IS NOT DISTINCT FROM f.stratum), false)" for k in cutoffs)
+    return f"""
+WITH d AS (SELECT doc_id, lang AS stratum, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, stratum, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
+g AS (SELECT doc_id, pos, ws[pos] || chr(1) || ws[pos + 1] || chr(1) || ws[pos + 2] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS pos FROM w)),
+twice AS (SELECT doc_id, pos FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+covered AS (SELECT doc_id, count(DISTINCT spot) AS n FROM (SELECT doc_id, unnest([pos, pos + 1, pos + 2]) AS spot FROM twice) GROUP BY doc_id),
+f0 AS (SELECT w.doc_id, stratum, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) AS BIGINT) AS n_lines,
+  CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN covered ON covered.doc_id = w.doc_id),
+f AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM f0),
+good AS (SELECT f.* FROM f JOIN labels l ON l.doc_id = f.doc_id WHERE l.quality = 1 AND NOT base_failed),
+tested AS (SELECT stratum, name, cut, count(*) AS n, count(*) FILTER ({value} > cut) AS k FROM good, (VALUES {grid}) c(name, cut) GROUP BY stratum, name, cut),
+bounds AS (SELECT *, CASE WHEN k >= n * {p!r} THEN 1.0 ELSE list_sum(list_transform(range(CAST(greatest(0, k - 200 - floor(40 * sqrt(k))) AS BIGINT), k + 1),
+  lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p!r}) + (n - i) * ln(1 - {p!r})))) END AS tail,
+  {1 - confidence!r} / ({tests} * (SELECT count(*) FROM (SELECT DISTINCT stratum FROM good))) AS allowed FROM tested),
+passed AS (SELECT * FROM bounds WHERE tail <= allowed)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({bad}) AS kept FROM f
+"""

@@ -160,3 +160,27 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 
     done = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
     return F.when(F.size(spans) > 0, done).otherwise(text)
+
+
+def _kind_sql(order: int, rule: Rule) -> str:
+    """DuckDB SQL for one rule's matches, with letters of either case spelled out as its folding is Unicode's."""
+    either = "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in "password|passwd|secret|token|api_?key")
+    pattern = rule.pattern.replace("(?i:password|passwd|secret|token|api_?key)", either).replace("'", "''")
+    return f"""SELECT doc_id, {order} AS ord, '{rule.kind}' AS kind, {rule.least} AS least, regexp_extract_all(t, '{pattern}', 0) AS h,
+        regexp_extract_all(t, '{pattern}', {rule.group}) AS v, regexp_split_to_array(t, '{pattern}') AS s FROM d"""
+
+
+def secrets_sql(rules: tuple[Rule, ...] = RULES) -> str:
+    """The digest query in DuckDB SQL."""
+    counts = ", ".join(f"count(f.kind) FILTER (f.kind = '{r.kind}') AS n_{r.kind}" for r in BASE_RULES)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({" UNION ALL ".join(_kind_sql(i, r) for i, r in enumerate(rules))}),
+u AS (SELECT doc_id, ord, kind, least, h, v, s, unnest(range(1, len(h) + 1)) AS i FROM m),
+p AS (SELECT doc_id, ord, kind, h[i] AS hit, CAST(list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a
+      FROM u WHERE length(v[i]) >= least),
+f AS (SELECT *, kind || ':' || a || ':' || (a + length(hit)) AS span FROM p)
+SELECT d.doc_id, {counts}, sha256(coalesce(string_agg(span, ',' ORDER BY a, ord) FILTER (ord < {len(BASE_RULES)}), '')) AS base_sha256,
+  coalesce(string_agg(span, ',' ORDER BY a, ord), '') AS spans
+FROM d LEFT JOIN f ON f.doc_id = d.doc_id GROUP BY d.doc_id
+"""
