@@ -11,10 +11,13 @@
    its matches - 1 longest lists. A pair with enough agreements still meets in a
    list that both kept, and lists that a common passage makes long are left out.
    A class with fewer than `matches` shared pairs has no partner and vanishes.
-4. Lists are first linked to their smallest member only; confirmed links merge
-   classes into components, and then the lists that still hold several components
-   are compared across components, each member with each. Links inside a component
-   are never enumerated, so a large group of copies costs a star, not its square.
+4. Each list is led by its most central member, the one with the most shared
+   pairs. Members are first compared with their leaders only; confirmed links merge
+   classes into components. A leader's star, which holds every pair of its lists,
+   is done if it is one component. Members of the others are compared across
+   components in blocks of bounded size, and a block returns no more links than it
+   needs to join what it found linked. So a large group of copies costs a star or
+   a few blocks, and its pairs are never enumerated as rows.
 5. Agreements are counted on whole signatures, and links confirmed on full sets.
 
 No bucket, partner or candidate is capped. Nothing but counts reaches the driver.
@@ -41,6 +44,8 @@ MATCHES = 21
 COORDINATE_BITS = 6
 #: Elements of the coordinates-by-shingles block that is hashed at once.
 BLOCK = 1 << 18
+#: Set items in a block of a star whose members are compared with each other.
+BLOCK_ITEMS = 1 << 19
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _RANDOM = np.random.default_rng(20240611)
@@ -127,6 +132,67 @@ def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, wi
     return rows.mapInArrow(run, "node long, items array<long>")
 
 
+def linked(rows: np.ndarray, roots: list[int], items: pa.ListArray, side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links that join what has different roots, between rows of different sides (or any, if there is one).
+
+    Every pair of different roots is counted, by walking each row's items through
+    an index of all; of links within what is joined already only one is returned.
+    """
+    values, heads = items.flatten().to_numpy(), items.offsets.to_numpy() - items.offsets[0].as_py()
+    sizes = np.diff(heads)
+    owners = np.repeat(np.arange(len(rows)), sizes)
+    _, number = np.unique(values, return_inverse=True)
+    order = np.argsort(number, kind="stable")
+    lists, starts = owners[order], np.concatenate([[0], np.cumsum(np.bincount(number))])
+    parent = {r: r for r in roots}
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out, one_side = [], len(np.unique(side)) == 1
+    for i in range(len(rows)):
+        own = number[heads[i] : heads[i + 1]]
+        low, n = starts[own], starts[own + 1] - starts[own]
+        n_all = int(n.sum())
+        at = np.arange(n_all) + np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+        shared = np.bincount(lists[at], minlength=len(rows))
+        hit = (100 + percent) * shared >= percent * (sizes + sizes[i])
+        hit[: i + 1] = False
+        if not one_side:
+            hit &= side != side[i]
+        for j in np.nonzero(hit)[0]:
+            a, b = find(roots[i]), find(roots[j])
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                out.append((int(rows[i]), int(rows[j])))
+    return out
+
+
+def across(members: DataFrame, sets: DataFrame, percent: int, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """Links (a, b) between members (leader, node, root) of one star with different roots.
+
+    A star is cut into blocks of about block_items items, and each pair of blocks
+    is compared in a task of its own, which holds those two alone.
+    """
+    sized = members.join(sets.select("node", F.size("items").alias("n")), "node")
+    blocks = sized.groupBy("leader").agg(F.ceil(F.sum("n") / block_items).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    placed = members.join(blocks, "leader").select("leader", "node", "root", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    placed = placed.select("leader", "node", "root", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        items = table.column("items").combine_chunks()
+        items = items.chunk(0) if isinstance(items, pa.ChunkedArray) else items
+        found = linked(table.column("node").to_numpy(), table.column("root").to_pylist(), items, table.column("own").to_numpy(), percent)
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
+
+    return placed.join(sets, "node").groupBy("leader", "x", "y").applyInArrow(compare, "a long, b long")
+
+
 def _near(n: Column, m: Column, percent: int) -> Column:
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
@@ -153,47 +219,35 @@ def near_duplicates(
     classes = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.any_value("n").alias("n"), F.any_value("sig").alias("sig"))
     classes = materialise(classes, "classes")
 
-    posted = classes.select("node", "n", F.explode("sig").alias("key"))
+    posted = classes.select("node", F.explode("sig").alias("key"))
     lengths = posted.groupBy("key").agg(F.count("*").alias("length")).where("length > 1")
     posted = posted.join(lengths, "key")
-    own = posted.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("length", "key"))).alias("lists"))  # at most one for each coordinate
+    own = posted.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("length", "key"))).alias("lists"))  # at most one for each coordinate
     own = own.where(F.size("lists") >= matches)
-    posted = own.select("node", "n", F.explode(F.slice("lists", F.lit(1), F.size("lists") - (matches - 1))).alias("list")).select("node", "n", F.col("list.key").alias("key"))
+    posted = own.select("node", F.size("lists").alias("shared"), F.explode(F.slice("lists", F.lit(1), F.size("lists") - (matches - 1))).alias("list")).select("node", "shared", F.col("list.key").alias("key"))
     posted = materialise(posted, "posted")
 
-    def agreeing(pairs: DataFrame) -> DataFrame:
-        left = classes.select(F.col("node").alias("a"), F.col("sig").alias("sig_a"), F.col("n").alias("n_a"))
-        right = classes.select(F.col("node").alias("b"), F.col("sig").alias("sig_b"), F.col("n").alias("n_b"))
-        both = pairs.join(left, "a").join(right, "b")
-        both = both.where(_near(F.col("n_a"), F.col("n_b"), percent) & (F.size(F.array_intersect("sig_a", "sig_b")) >= matches))
-        return materialise(both.select("a", "b", "n_a", "n_b"), "pairs")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        wanted = classes.join(nodes, "node").select("id", "node")
-        sets = materialise(full_sets(docs, wanted, id_col, text_col, width), "sets")
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("items_a")), "a")
-        both = both.join(sets.select(F.col("node").alias("b"), F.col("items").alias("items_b")), "b")
-        shared = F.size(F.array_intersect("items_a", "items_b"))
-        both = both.select("a", "b", "n_a", "n_b", shared.alias("shared"))
-        return both.where(100 * F.col("shared") >= percent * (F.col("n_a") + F.col("n_b") - F.col("shared"))).select("a", "b")
-
-    firsts = posted.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").select("key", "a")
-    stars = posted.join(firsts, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    nodes = posted.select("node").distinct()
+    sets = materialise(full_sets(docs, classes.join(nodes, "node").select("id", "node"), id_col, text_col, width), "sets")
+
+    leaders = posted.groupBy("key").agg(F.max(F.struct("shared", "node"))["node"].alias("leader"), F.count("*").alias("members")).where("members > 1")
+    stars = posted.join(leaders, "key").where("node <> leader").select("leader", "node").distinct()
     stars = materialise(stars, "stars")
-    links = materialise(confirmed(agreeing(stars)), "confirmed")
+
+    left = classes.select(F.col("node").alias("leader"), F.col("sig").alias("sig_a"), F.col("n").alias("n_a"))
+    pairs = stars.join(left, "leader").join(classes.select("node", F.col("sig").alias("sig_b"), F.col("n").alias("n_b")), "node")
+    pairs = pairs.where(_near(F.col("n_a"), F.col("n_b"), percent) & (F.size(F.array_intersect("sig_a", "sig_b")) >= matches)).select("leader", "node")
+    both = pairs.join(sets.select(F.col("node").alias("leader"), F.col("items").alias("items_a")), "leader").join(sets, "node")
+    shared = F.size(F.array_intersect("items_a", "items"))
+    both = both.select("leader", "node", (F.size("items_a") + F.size("items")).alias("total"), shared.alias("shared"))
+    links = both.where((100 + percent) * F.col("shared") >= percent * F.col("total")).select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    links = materialise(links, "confirmed")
 
     roots = components(links)
-    placed = posted.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-    open_keys = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    placed = materialise(placed.join(open_keys, "key"), "placed")
-    groups = placed.select("key", "root").distinct()
-    across = groups.alias("x").join(groups.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")))
-    across = across.select(F.col("x.key").alias("key"), F.col("x.root").alias("root"), F.col("y.root").alias("other"))
-    across = across.join(placed, ["key", "root"]).select("key", "other", F.col("node").alias("p"), F.col("n").alias("n_p"))
-    across = across.join(placed.withColumnRenamed("root", "other"), ["key", "other"]).where(_near(F.col("n_p"), F.col("n"), percent))
-    across = across.select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
-    more = confirmed(agreeing(across.join(stars, ["a", "b"], "left_anti")))
+    members = stars.union(stars.select("leader", "leader").distinct())
+    members = members.join(roots, "node", "left").select("leader", "node", F.coalesce("root", "node").alias("root"))
+    open_stars = members.groupBy("leader").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("leader")
+    more = across(members.join(open_stars, "leader"), sets, percent)
     roots = components(links.union(more))
 
     labels = classes.select("node", "id").join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
