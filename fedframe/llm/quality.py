@@ -27,7 +27,9 @@ CUTOFFS: dict[str, tuple[float, ...]] = {
     "mean_word_length": (7.0, 8.0, 9.0, 10.0, 12.0, 15.0, 20.0),
 }
 #: Of the good documents of a stratum, at most this share may be rejected by all features together.
-RISK = 0.05
+RISK = 0.02
+#: The share of bad documents that a cutoff rejects is to be above that of good ones by so much.
+LEAST_GAIN = 0.05
 #: With at least this chance all selected cutoffs keep that promise.
 CONFIDENCE = 0.95
 
@@ -113,17 +115,21 @@ def binomial_tail(k: Column, n: Column, p: Column) -> Column:
     return F.when(k >= n * p, F.lit(1.0)).otherwise(F.least(F.lit(1.0), total))
 
 
-def select_cutoffs(held_out: DataFrame, cutoffs: dict[str, tuple[float, ...]], risk: float, confidence: float) -> DataFrame:
+def select_cutoffs(held_out: DataFrame, cutoffs: dict[str, tuple[float, ...]], risk: float, confidence: float, least_gain: float = LEAST_GAIN) -> DataFrame:
     """The certified cutoffs of each stratum.
 
-    held_out: rows of features() of labelled good documents that the base rule
-    keeps. Returns stratum and one column cut_<feature> (null: no cutoff passed).
-    The upper bound of the exact (Clopper-Pearson) interval is within the risk
-    just where the binomial tail at that risk is within the error allowed.
+    held_out: rows of features() of labelled documents that the base rule keeps,
+    and good (boolean). Returns stratum and one column cut_<feature> (null: none
+    passed). The upper bound of the exact (Clopper-Pearson) interval is within the
+    risk just where the binomial tail at that risk is within the error allowed.
     """
     share = risk / len(cutoffs)
-    sums = [F.count("*").alias("n")]
-    sums += [F.sum((_value(name) > cut).cast("long")).alias(f"k_{name}_{i}") for name, cuts in cutoffs.items() for i, cut in enumerate(cuts)]
+    good = F.col("good")
+    sums = [F.count_if(good).alias("n"), F.count_if(~good).alias("n_bad")]
+    for name, cuts in cutoffs.items():
+        for i, cut in enumerate(cuts):
+            over = _value(name) > cut
+            sums += [F.count_if(good & over).alias(f"k_{name}_{i}"), F.count_if(~good & over).alias(f"b_{name}_{i}")]
     by_stratum = held_out.groupBy("stratum").agg(*sums)
     strata = by_stratum.agg(F.count("*").alias("strata"))
     tests = sum(len(cuts) for cuts in cutoffs.values())
@@ -131,8 +137,12 @@ def select_cutoffs(held_out: DataFrame, cutoffs: dict[str, tuple[float, ...]], r
     allowed = (1 - confidence) / (tests * F.col("strata"))
     chosen = []
     for name, cuts in cutoffs.items():
-        passed = [F.when(binomial_tail(F.col(f"k_{name}_{i}"), F.col("n"), F.lit(share)) <= allowed, F.lit(float(cut))) for i, cut in enumerate(cuts)]
-        chosen.append(F.array_min(F.array(*passed)).alias(f"cut_{name}"))
+        passed = []
+        for i, cut in enumerate(cuts):
+            gain = F.col(f"b_{name}_{i}") / F.greatest("n_bad", F.lit(1)) - F.col(f"k_{name}_{i}") / F.greatest("n", F.lit(1))
+            safe = binomial_tail(F.col(f"k_{name}_{i}"), F.col("n"), F.lit(share)) <= allowed
+            passed.append(F.when(safe & (gain >= least_gain), F.struct(gain.alias("gain"), F.lit(float(cut)).alias("cut"))))
+        chosen.append(F.array_max(F.array(*passed))["cut"].alias(f"cut_{name}"))
     return by_stratum.select("stratum", *chosen)
 
 
@@ -152,15 +162,15 @@ def judge(
     Returns one row per input row: id_col, n_words, word_chars, n_symbols,
     n_dup_lines, n_repeat_words, base_failed, kept. A null or empty text has no
     words and fails the base rule. kept is false if base_failed, or if a feature
-    is above the certified cutoff of the row's stratum. Strata that no labelled
-    good document is in, a null stratum among them, have no cutoffs. Labels whose
-    quality is not 1, null ones too, count as not good; a document labelled good
-    in several rows counts once a row. Empty labels certify nothing.
+    is above the certified cutoff of the row's stratum. Null strata are one. Strata
+    with too few labelled good documents, or no bad ones, have no cutoffs. Labels
+    are good (quality 1) or bad (any other); null ones don't count, and a document
+    labelled in several rows counts once a row. Empty labels certify nothing.
     """
     cutoffs = CUTOFFS if cutoffs is None else cutoffs
     rows = materialise(features(docs, id_col, text_col, stratum_col), "features")
-    good = labels.where(F.col(quality_col) == 1).select(F.col(id_col).alias("good_id"))
-    held_out = rows.where(~F.col("base_failed")).join(good, F.col("id") == F.col("good_id"))
+    known = labels.where(F.col(quality_col).isNotNull()).select(F.col(id_col).alias("known_id"), (F.col(quality_col) == 1).alias("good"))
+    held_out = rows.where(~F.col("base_failed")).join(known, F.col("id") == F.col("known_id"))
     cuts = select_cutoffs(held_out, cutoffs, risk, confidence).withColumnRenamed("stratum", "cut_stratum")
     out = rows.join(cuts, F.col("stratum").eqNullSafe(F.col("cut_stratum")), "left")
     bad = F.lit(False)
@@ -187,11 +197,12 @@ f0 AS (SELECT w.doc_id, stratum, CAST(len(ws) AS BIGINT) AS n_words, CAST(coales
   CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) AS BIGINT) AS n_lines,
   CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN covered ON covered.doc_id = w.doc_id),
 f AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM f0),
-good AS (SELECT f.* FROM f JOIN labels l ON l.doc_id = f.doc_id WHERE l.quality = 1 AND NOT base_failed),
-tested AS (SELECT stratum, name, cut, count(*) AS n, count(*) FILTER ({value} > cut) AS k FROM good, (VALUES {grid}) c(name, cut) GROUP BY stratum, name, cut),
-bounds AS (SELECT *, CASE WHEN k >= n * {p!r} THEN 1.0 ELSE list_sum(list_transform(range(CAST(greatest(0, k - 200 - floor(40 * sqrt(k))) AS BIGINT), k + 1),
+known AS (SELECT f.*, l.quality = 1 AS good FROM f JOIN labels l ON l.doc_id = f.doc_id WHERE l.quality IS NOT NULL AND NOT base_failed),
+tested AS (SELECT stratum, name, cut, count(*) FILTER (good) AS n, count(*) FILTER (NOT good) AS n_bad, count(*) FILTER (good AND {value} > cut) AS k,
+  count(*) FILTER (NOT good AND {value} > cut) AS b FROM known, (VALUES {grid}) c(name, cut) GROUP BY stratum, name, cut),
+bounds AS (SELECT *, b / greatest(n_bad, 1) - k / greatest(n, 1) AS gain, CASE WHEN k >= n * {p!r} THEN 1.0 ELSE list_sum(list_transform(range(CAST(greatest(0, k - 200 - floor(40 * sqrt(k))) AS BIGINT), k + 1),
   lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p!r}) + (n - i) * ln(1 - {p!r})))) END AS tail,
-  {1 - confidence!r} / ({tests} * (SELECT count(*) FROM (SELECT DISTINCT stratum FROM good))) AS allowed FROM tested),
-passed AS (SELECT * FROM bounds WHERE tail <= allowed)
+  {1 - confidence!r} / ({tests} * (SELECT count(*) FROM (SELECT DISTINCT stratum FROM known))) AS allowed FROM tested),
+passed AS (SELECT * FROM bounds WHERE tail <= allowed AND gain >= {LEAST_GAIN} QUALIFY row_number() OVER (PARTITION BY stratum, name ORDER BY gain DESC, cut DESC) = 1)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({bad}) AS kept FROM f
 """

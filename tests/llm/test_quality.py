@@ -54,10 +54,12 @@ def test_binomial_tail_is_exact(spark):
 
 
 def test_cutoffs_keep_their_promise(spark):
-    """Strict cutoffs that would reject good documents are not certified, harmless ones are, small strata get none."""
-    rows = [("big", 1000, 5000, 0 if i % 50 else 1000, 10, 0, 0) for i in range(5000)] + [("small", 1000, 5000, 0, 10, 0, 0) for _ in range(50)]
-    df = spark.createDataFrame(rows, "stratum string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long")
+    """Cutoffs that would reject good documents are not certified, useless ones are not used, small strata get none."""
+    good = [("big", 1000, 5000, 0 if i % 50 else 1000, 10, 0, 0, True) for i in range(5000)] + [("small", 1000, 5000, 0, 10, 0, 0, True) for _ in range(50)]
+    bad = [(s, 1000, 5000, 2000, 10, 0, 300 if i % 2 else 0, False) for s in ("big", "small", "bad") for i in range(40)]
+    df = spark.createDataFrame(good + bad, "stratum string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long, good boolean")
     cuts = {r.stratum: r for r in quality.select_cutoffs(df, quality.CUTOFFS, quality.RISK, quality.CONFIDENCE).collect()}
-    assert cuts["small"].cut_symbol_share is None and cuts["small"].cut_repeat_share is None
-    assert cuts["big"].cut_symbol_share == 0.2  # 2 % of its good documents have a share of 0.2, more than the risk
-    assert cuts["big"].cut_repeat_share == 0.05 and cuts["big"].cut_mean_word_length == 7.0
+    assert cuts["small"].cut_symbol_share is None and cuts["small"].cut_repeat_share is None and cuts["bad"].cut_symbol_share is None
+    assert cuts["big"].cut_symbol_share == 0.3  # 2 % of its good documents have a share of 0.2, more than the risk
+    assert cuts["big"].cut_repeat_share == 0.25  # the laxest of those that reject the same
+    assert cuts["big"].cut_dup_line_share is None and cuts["big"].cut_mean_word_length is None
