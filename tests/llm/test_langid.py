@@ -1,7 +1,7 @@
 import zlib
 
 import numpy as np
-from conftest import odd_rows
+from odd import odd_rows
 from pyspark.sql import functions as F
 
 from fedframe.llm import langid, queries

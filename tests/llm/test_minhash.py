@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
-from conftest import odd_rows, words
+from odd import odd_rows, words
 from duck import assert_same
 
 from fedframe.llm import minhash as M

@@ -1,6 +1,6 @@
 import re
 
-from conftest import odd_rows
+from odd import odd_rows
 from duck import assert_same
 
 from fedframe.llm import mixing, queries

@@ -2,7 +2,7 @@ import math
 import re
 from collections import Counter
 
-from conftest import odd_rows
+from odd import odd_rows
 from pyspark.sql import functions as F
 
 from fedframe.llm import quality, queries

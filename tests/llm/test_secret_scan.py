@@ -1,7 +1,7 @@
 import hashlib
 import re
 
-from conftest import odd_rows
+from odd import odd_rows
 from pyspark.sql import functions as F
 
 from fedframe.llm import queries, secret_scan

@@ -2,7 +2,7 @@ import hashlib
 
 import pytest
 import sentencepiece
-from conftest import odd_rows
+from odd import odd_rows
 from pyspark.sql import functions as F
 
 from fedframe.llm import queries

@@ -1,7 +1,7 @@
 import hashlib
 import math
 
-from conftest import odd_rows, words
+from odd import odd_rows, words
 
 from fedframe.llm import queries, simhash
 

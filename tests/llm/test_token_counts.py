@@ -1,7 +1,7 @@
 import random
 
 import public_tokenizers
-from conftest import odd_rows
+from odd import odd_rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
