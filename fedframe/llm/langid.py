@@ -13,13 +13,15 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from .common import split_words
 
@@ -33,10 +35,11 @@ FIT_LENGTH = 100
 EVEN_SHARE = 1e-4
 #: A character that is no piece has this probability in every language.
 UNKNOWN = 1e-7
-#: Words of one length are scored together, at most so many at once; longer words one by one.
-TOGETHER, LONG = 20_000, 24
-#: Scores of words that a worker remembers.
-REMEMBERED = 300_000
+#: Parts of one length are scored together, at most so many at once; the fewer, the longer above LONG.
+TOGETHER, LONG = 4_000, 24
+#: Scores of words that a worker remembers, and the characters of the texts it looks at together.
+REMEMBERED = 500_000
+CHARS_PER_GROUP = 2_000_000
 UNDECIDED = "und"
 
 
@@ -77,41 +80,120 @@ def fit(counts: dict[str, float], vocabulary: dict[str, int], longest: int, roun
     return {p: x for p, x in chance.items() if x > 1e-12}
 
 
+class Vocabulary:
+    """Pieces found by 64-bit hashes of their characters, many at once.
+
+    A hash is a polynomial over mixed code points, so that it grows by a character
+    in one step. Two tables of slots, by different bits, hold the pieces; the few
+    that find their slot in both taken are looked up by search.
+    """
+
+    SLOTS = 20
+
+    def __init__(self, numbers: dict[str, int], longest: int):
+        self.numbers, self.longest, self.size = numbers, longest, len(numbers)
+        #: No piece mixes letters with others, so that words fall apart there.
+        self.apart = not any(len(runs(p.lstrip(MARK))) > 1 for p in numbers)
+        hashes = np.array([self._hash_one(p) for p in numbers], np.uint64)
+        self.hashes = np.concatenate([hashes, [np.uint64(0)]])  # the last stands for none
+        self.first = np.full(1 << self.SLOTS, self.size, np.int32)
+        self.second = np.full(1 << self.SLOTS, self.size, np.int32)
+        where = self._slots(hashes)
+        self.first[where[0]] = np.arange(self.size)
+        lost = np.nonzero(self.first[where[0]] != np.arange(self.size))[0]
+        self.second[where[1][lost]] = lost
+        left = lost[self.second[where[1][lost]] != lost]
+        self.rest = {int(hashes[i]): int(i) for i in left}
+
+    @staticmethod
+    def mixed(codes: np.ndarray) -> np.ndarray:
+        x = (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return x ^ (x >> np.uint64(32))
+
+    @staticmethod
+    def grown(h: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return (h + c) * np.uint64(0xD6E8FEB86659FD93)
+
+    def _hash_one(self, text: str) -> np.uint64:
+        h = np.zeros(1, np.uint64)
+        for c in self.mixed(np.array([ord(x) for x in text])):
+            h = self.grown(h, c)
+        return h[0]
+
+    def _slots(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        low = np.uint64((1 << self.SLOTS) - 1)
+        return (h >> np.uint64(64 - self.SLOTS)).astype(np.int64), ((h >> np.uint64(20)) & low).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The piece of each hash, or size where there is none."""
+        a, b = self._slots(h)
+        found = self.first[a]
+        found = np.where(self.hashes[found] == h, found, self.second[b])
+        found[self.hashes[found] != h] = self.size
+        if self.rest:
+            for value, number in self.rest.items():
+                found[h == np.uint64(value)] = number
+        return found
+
+
+@lru_cache(maxsize=2)
+def vocabulary_of(path: str) -> Vocabulary:
+    return Vocabulary(*pieces(path))
+
+
+_RUNS = regex.compile(r"\p{L}+|\P{L}+")
+
+
+def runs(word: str) -> list[str]:
+    """A word's runs of letters and of other characters."""
+    if word.isalpha():
+        return [word]
+    return [word[:-1], word[-1]] if word[:-1].isalpha() else _RUNS.findall(word)
+
+
 class Model:
     """Languages and the probability of each piece in each of them."""
 
     def __init__(self, languages: list[str], chances: np.ndarray):
         self.languages, self.chances = languages, chances
 
-    def score_words(self, words: list[str], vocabulary: dict[str, int], longest: int) -> np.ndarray:
-        """Words by languages: the logarithm of each word's probability over all segmentations."""
-        out = np.zeros((len(words), len(self.languages)))
-        unknown = len(vocabulary)
+    def score_parts(self, parts: list[str], vocabulary: Vocabulary) -> np.ndarray:
+        """Parts (words after MARK, or runs of them) by languages: the logarithm of each
+        one's probability over all segmentations, by the forward pass over many at once."""
+        out = np.zeros((len(parts), len(self.languages)))
         by_length: dict[int, list[int]] = {}
-        for i, word in enumerate(words):
-            by_length.setdefault(len(word) + 1, []).append(i)
+        for i, part in enumerate(parts):
+            by_length.setdefault(len(part), []).append(i)
         for length, members in by_length.items():
             step = max(1, TOGETHER // max(1, length // LONG))
             for k in range(0, len(members), step):
                 rows = members[k : k + step]
-                texts = [MARK + words[i] for i in rows]
-                # Only the sums that a piece can still start from are kept, scaled so that none vanishes.
-                sums: list[np.ndarray] = [np.ones((len(rows), len(self.languages)))]
+                codes = np.frombuffer("".join([parts[i] for i in rows]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(rows), length)
+                letters = vocabulary.mixed(codes.T)
+                # sums[j]: probability of the first j characters; only those in reach of a piece are kept.
+                sums = {0: np.ones((len(rows), len(self.languages)))}
                 scale = np.zeros((len(rows), 1))
-                for j in range(1, length + 1):
-                    total = np.zeros_like(sums[0])
-                    first = max(0, j - longest)
-                    for i in range(first, j):
-                        other = -1 if j > i + 1 else unknown
-                        found = np.array([vocabulary.get(t[i:j], other) for t in texts])
-                        if (found >= 0).any():
-                            total += sums[i - j] * self.chances[found]
-                    sums.append(total)
-                    if j % 16 == 0:
-                        peak = np.maximum(sums[-1].max(axis=1, keepdims=True), 1e-300)
+                for i in range(length):
+                    start = sums.pop(i)
+                    if i and i % 16 == 0:
+                        peak = np.maximum(start.max(axis=1, keepdims=True), 1e-300)
                         scale += np.log(peak)
-                        sums = [x / peak for x in sums[-longest:]]
-                out[rows] = np.log(np.maximum(sums[-1], 1e-300)) + scale
+                        start = start / peak
+                        sums = {j: x / peak for j, x in sums.items()}
+                    h = np.zeros(len(rows), np.uint64)
+                    for j in range(i + 1, min(length, i + vocabulary.longest) + 1):
+                        h = vocabulary.grown(h, letters[j - 1])
+                        found = vocabulary.find(h)
+                        if j not in sums:
+                            sums[j] = np.zeros_like(start)
+                        if j == i + 1:  # a character that is no piece has a probability too
+                            sums[j] += start * self.chances[found]
+                            continue
+                        hit = np.nonzero(found < vocabulary.size)[0]
+                        if len(hit):
+                            sums[j][hit] += start[hit] * self.chances[found[hit]]
+                out[rows] = np.log(np.maximum(sums[length], 1e-300)) + scale
         return out
 
     def judge(self, scores: np.ndarray) -> tuple[str, float]:
@@ -154,6 +236,60 @@ def train(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_co
     return Model(languages, chances)
 
 
+class _Known(dict):
+    """Numbers of the words (or parts) met so far, and a table of their scores."""
+
+    def __init__(self, model: Model, vocabulary: Vocabulary):
+        super().__init__()
+        self.model, self.vocabulary = model, vocabulary
+        self.new: list[str] = []
+        self.table = np.zeros((1024, len(model.languages)))
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+    def forget(self) -> None:
+        self.clear()
+        self.table = np.zeros((1024, len(self.model.languages)))
+
+    def put(self, scores: np.ndarray) -> None:
+        """The scores of the new ones, in their order."""
+        n = len(self)
+        if n > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros((2 * n - len(self.table), self.table.shape[1]))])
+        self.table[n - len(self.new) : n] = scores
+        self.new = []
+
+    def learn(self, parts: _Known) -> None:
+        """Score the new words: of each one its parts, scored once for all words that share them."""
+        if not self.new:
+            return
+        if self.vocabulary.apart:
+            cut = [runs(w) for w in self.new]
+            cut = [[MARK + c[0], *c[1:]] for c in cut]
+        else:
+            cut = [[MARK + w] for w in self.new]
+        numbers = np.fromiter(map(parts.__getitem__, chain.from_iterable(cut)), np.int64, sum(map(len, cut)))
+        if parts.new:
+            parts.put(self.model.score_parts(parts.new, self.vocabulary))
+        self.put(np.add.reduceat(parts.table[numbers], np.cumsum([0, *map(len, cut)])[:-1], axis=0))
+
+
+def _groups(members: list[int], texts: list[str]) -> Iterator[list[int]]:
+    """Members in groups of at most CHARS_PER_GROUP characters, or of one text."""
+    group, total = [], 0
+    for i in members:
+        if group and total + len(texts[i]) > CHARS_PER_GROUP:
+            yield group
+            group, total = [], 0
+        group.append(i)
+        total += len(texts[i])
+    if group:
+        yield group
+
+
 def identify(docs: DataFrame, model: Model, vocabulary_path: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The language of every whole text.
 
@@ -166,32 +302,23 @@ def identify(docs: DataFrame, model: Model, vocabulary_path: str, text_col: str
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.chances))  # vocabulary by languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(*shared.value)
-        vocabulary, longest = pieces(vocabulary_path)
-        known: dict[str, int] = {}
-        table = np.zeros((1024, len(own.languages)))
+        own, vocabulary = Model(*shared.value), vocabulary_of(vocabulary_path)
+        words, parts = _Known(own, vocabulary), _Known(own, vocabulary)
         for batch in batches:
-            langs, scores = [], []
-            for value in batch.column(batch.num_columns - 1):
-                text = value.as_py()
-                if text is None or not own.languages or not any(map(str.isalpha, text)):
-                    langs.append(UNDECIDED)
-                    scores.append(0.0)
-                    continue
-                words = text.encode("utf-8", "surrogatepass").split()  # at ASCII white space
-                words = [w.decode("utf-8", "surrogatepass") for w in words]
-                new = [w for w in set(words) if w not in known]
-                if len(known) + len(new) > REMEMBERED:
-                    known, new = {}, list(set(words))
-                if new:
-                    if len(known) + len(new) > len(table):
-                        table = np.concatenate([table, np.zeros((len(known) + len(new) + len(table), len(own.languages)))])
-                    table[len(known) : len(known) + len(new)] = own.score_words(new, vocabulary, longest)
-                    known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-                total = table[np.fromiter(map(known.__getitem__, words), np.int64, len(words))].sum(axis=0)
-                lang, score = own.judge(total)
-                langs.append(lang)
-                scores.append(score if math.isfinite(score) else 0.0)
+            texts = batch.column(batch.num_columns - 1).to_pylist()
+            langs, scores = [UNDECIDED] * len(texts), [0.0] * len(texts)
+            judged = [i for i, x in enumerate(texts) if x is not None and own.languages and any(map(str.isalpha, x))]
+            for group in _groups(judged, texts):
+                cut = [texts[i].split() for i in group]
+                numbers = np.fromiter(map(words.__getitem__, chain.from_iterable(cut)), np.int64, sum(map(len, cut)))
+                words.learn(parts)
+                heads = np.cumsum([0, *map(len, cut)])[:-1]
+                for i, total in zip(group, np.add.reduceat(words.table[numbers], heads, axis=0), strict=True):
+                    lang, score = own.judge(total)
+                    langs[i], scores[i] = lang, score if math.isfinite(score) else 0.0
+                for held in (words, parts):
+                    if len(held) > REMEMBERED:
+                        held.forget()
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
 
     return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)
