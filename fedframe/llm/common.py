@@ -41,7 +41,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialise() made, once nothing that is still to run reads them."""
+    for df in tables:
+        drop_path(df.sparkSession, df.scratch_path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

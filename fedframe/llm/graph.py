@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
@@ -33,5 +33,6 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low).distinct()
-        links = materialise(small, "links")
+        old, links = links, materialise(small, "links")
+        discard(old)
     raise RuntimeError("components did not settle")

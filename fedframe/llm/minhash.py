@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 from .graph import components
 
 SHINGLE = 5
@@ -249,6 +249,7 @@ def near_duplicates(
     open_stars = members.groupBy("leader").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("leader")
     more = across(members.join(open_stars, "leader"), sets, percent)
     roots = components(links.union(more))
+    discard(posted, sets, stars, links)
 
     labels = classes.select("node", "id").join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     least = labels.groupBy("root").agg(F.min("id").alias("component"))
