@@ -23,12 +23,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import split_words
+from .common import materialise, split_words
 
 MARK = "▁"
 #: Labelled documents a language that are fitted on.
 MAX_DOCS_PER_LANGUAGE = 400
 ROUNDS = 2
+#: The chosen documents' ids are broadcast if there are at most so many.
+MAX_BROADCAST_ROWS = 50_000
 #: Longer words are fitted as several, so that a probability doesn't vanish.
 FIT_LENGTH = 100
 #: Of a language's probability, the share spread evenly over all pieces.
@@ -213,6 +215,9 @@ def train(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_co
     ids = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("h"))
     turn = F.row_number().over(W.partitionBy("lang").orderBy("h", "id"))
     chosen = ids.withColumn("turn", turn).where(F.col("turn") <= max_docs).select(F.col("id").alias("chosen"), F.col("lang").alias("of")).distinct()
+    chosen = materialise(chosen, "chosen")
+    if chosen.count() <= MAX_BROADCAST_ROWS:  # else texts are shuffled
+        chosen = F.broadcast(chosen)
     texts = rows.join(chosen, F.col(id_col).eqNullSafe(F.col("chosen")) & (F.col(lang_col) == F.col("of"))).select(F.col("of").alias("lang"), F.col(text_col).alias("text"))
     counts = texts.select("lang", F.explode(split_words(F.col("text"))).alias("word")).where("word <> ''").groupBy("lang", "word").count()
 
