@@ -114,12 +114,13 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     fingerprint within three bits, searched among all; null for the rest.
     """
     prints = simhash.materialise(simhash.compare_edits(_table(spark, sf_dir, "documents")), "prints")
-    rows = prints.select(F.col("own").alias("fingerprint"))
-    near = simhash.search(rows, prints.where("id % 20 = 0").select(F.col("own").alias("fingerprint"))).groupBy("query").agg(F.sum("n").alias("found"))
-    out = prints.join(near, F.when(F.col("id") % 20 == 0, F.col("own")) == F.col("query"), "left")
+    rows, asks = prints.select(F.col("own").alias("fingerprint")), F.coalesce(F.col("id") % 20 == 0, F.lit(False))
+    asked = prints.where(asks)
+    near = simhash.search(rows, asked.select(F.col("own").alias("fingerprint"))).groupBy("query").agg(F.sum("n").alias("n_near"))
+    found = asked.join(near, F.col("own") == F.col("query"), "left").select(*prints.columns, F.coalesce("n_near", F.lit(0)).alias("n_near"))
+    out = found.union(prints.where(~asks).select("*", F.lit(None).cast("long")))
     text = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
-    n_near = F.when(F.col("id") % 20 == 0, F.coalesce("found", F.lit(0)))
-    return out.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", text("own").alias("fingerprint"), text("edited").alias("edited_fingerprint"), "near_edited", "near_next", n_near.alias("n_near"))
+    return out.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", text("own").alias("fingerprint"), text("edited").alias("edited_fingerprint"), "near_edited", "near_next", "n_near")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,9 +159,11 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_secrets": secret_scan.secrets_sql(),
         "op3_chat": chat.CHAT_SQL,
         "op5_sharding": """SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256, count(*) AS n_copies, true AS shard_ok
             FROM documents GROUP BY ALL""",
         "op6_minhash": minhash.NEAR_SQL,
         "op8_mixing": mixing.MIX_SQL,
+        "op10_quality": quality.quality_sql(),
     }

@@ -28,6 +28,8 @@ LANES = 4
 PAIR_WEIGHT = 2
 #: Words in a block: times PAIR_WEIGHT + 1 they are below 2**15, so that no lane, nor the sign, overflows.
 BLOCK = 10_000
+#: Ranges that ids are cut into at most, so that a row of three numbers for each can be broadcast.
+MAX_BUCKETS = 65_536
 _SPREAD = 1 | 1 << 15 | 1 << 30 | 1 << 45
 _LANES = 1 | 1 << 16 | 1 << 32 | 1 << 48
 
@@ -77,14 +79,14 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     low, high, n = rows.agg(F.min("id"), F.max("id"), F.count("*")).first()
-    buckets = max(1, n // rows_per_bucket)
+    buckets = min(MAX_BUCKETS, max(1, n // rows_per_bucket))
     width = 1 if low is None else max(1, -(-(high - low + 1) // buckets))
     bucket = F.coalesce(F.floor((F.col("id") - F.lit(low or 0)) / F.lit(width)), F.lit(-1)).cast("long")
     rows = rows.withColumn("bucket", bucket)
     heads = rows.groupBy("bucket").agg(F.min("id").alias("head"))  # a row for each range
     order = W.orderBy("bucket")
     lent = heads.select(F.coalesce(F.lag("bucket").over(order), F.max("bucket").over(W.partitionBy())).alias("to"), F.col("bucket").alias("from"), "head")
-    lent = rows.join(lent, (F.col("bucket") == F.col("from")) & F.col("id").eqNullSafe(F.col("head")))
+    lent = rows.join(F.broadcast(lent), (F.col("bucket") == F.col("from")) & F.col("id").eqNullSafe(F.col("head")))
     lent = lent.groupBy("to", "id").agg(F.min("text").alias("text"))
     both = rows.select("bucket", "id", "text", F.lit(False).alias("added")).union(lent.select("to", "id", "text", F.lit(True)))
     inside = W.partitionBy("bucket").orderBy("added", F.col("id").asc_nulls_first(), "text")
