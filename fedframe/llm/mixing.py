@@ -62,7 +62,7 @@ def mix(
     weights: tuple[int, ...] = (5, 2, 1),
     epochs: int = 3,
     seed: str = "mix",
-    rows_per_bucket: int = 50_000,
+    rows_per_bucket: int = 4_000,
 ) -> DataFrame:
     """How much the mix takes of each document.
 
