@@ -60,11 +60,11 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SentencePiece: the ids of every document, and whether they decode to its text."""
     ship(spark)
     model = tokenizer("piece_bpe_32k.model")
-    encoded = sentencepiece_codec.encode(docs, model, keep=("lang", "source", "text"))
-    facts = encoded.select(F.struct("doc_id", "lang", "source", "text", "ids").alias("facts"), "ids")
-    decoded = sentencepiece_codec.decode(facts, model, keep=("facts",))
-    same = F.col("decoded") == F.coalesce("facts.text", F.lit(""))
-    return decoded.select("facts.doc_id", "facts.lang", "facts.source", F.size("facts.ids").cast("long").alias("n_tokens"), "facts.ids", same.alias("decodes"))
+    named = docs.select("doc_id", "lang", "source", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+    encoded = sentencepiece_codec.encode(named, model, keep=("lang", "source", "digest"))
+    decoded = sentencepiece_codec.decode(encoded, model, keep=("doc_id", "lang", "source", "digest", "ids"))
+    same = F.sha2("decoded", 256) == F.col("digest")
+    return decoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("decodes"))
 
 
 STAGES = [

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 WHITESPACE = " \t\n\x0b\x0c\r"
 #: Java and RE2 pattern of a run of them.
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
+#: Bytes of a batch that a Python worker is handed, unless one row has more.
+BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -59,6 +61,12 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with Arrow batches for Python cut at BATCH_BYTES from now on: texts can be long, and rows alone bound nothing."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value computed once a row however often body uses it."""
     return F.transform(F.array(value), body)[0]

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise
+from .common import discard, materialise, small_batches
 from .graph import components
 
 SHINGLE = 5
@@ -114,7 +114,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str, width: int, coordinates:
             )
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind.simpleString()}, n long, node long, sig array<long>")
+    return small_batches(rows).mapInArrow(run, f"id {kind.simpleString()}, n long, node long, sig array<long>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -129,7 +129,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, wi
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = rows.join(wanted.hint("shuffle_hash"), rows["id"].eqNullSafe(wanted["id"])).select("node", "text")
-    return rows.mapInArrow(run, "node long, items array<long>")
+    return small_batches(rows).mapInArrow(run, "node long, items array<long>")
 
 
 def linked(rows: np.ndarray, roots: list[int], items: pa.ListArray, side: np.ndarray, percent: int) -> list[tuple[int, int]]:

@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 SPACE = "▁"
 MARK = SPACE.encode()
 #: Texts are encoded and handed on in groups of at most so many characters (or one text).
@@ -184,7 +186,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
                 kept = [batch.column(i).slice(part.start, part.stop - part.start) for i in range(len(columns))]
                 yield pa.RecordBatch.from_arrays([*kept, *lists], names=schema.names)
 
-    return docs.select(*columns, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return small_batches(docs.select(*columns, F.col(text_col).alias("__text"))).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, model: str, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -194,15 +196,17 @@ def decode(encoded: DataFrame, model: str, ids_col: str = "ids", keep: tuple[str
     text is empty. One row per input row, in any order.
     """
     schema = T.StructType([*(_field(encoded, c) for c in keep), T.StructField("decoded", T.StringType())])
+    columns = [F.col(c) for c in keep] + ([] if ids_col in keep else [F.col(ids_col)])  # once, if it is kept
+    at = keep.index(ids_col) if ids_col in keep else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(model)
         for batch in batches:
-            column = batch.column(batch.num_columns - 1)
+            column = batch.column(at)
             sizes = [0 if n is None else n for n in column.value_lengths().to_pylist()]
             for part in _groups(sizes, CHARS_PER_GROUP // 2):
                 ids = [x or [] for x in column.slice(part.start, part.stop - part.start).to_pylist()]
                 kept = [batch.column(i).slice(part.start, part.stop - part.start) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(tool.decode(ids), pa.string())], names=schema.names)
 
-    return encoded.select(*keep, F.col(ids_col).alias("__ids")).mapInArrow(run, schema)
+    return small_batches(encoded.select(*columns)).mapInArrow(run, schema)
