@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, split_words
+from .common import materialise, small_batches, split_words
 
 MARK = "▁"
 #: Labelled documents a language that are fitted on.
@@ -40,8 +40,8 @@ UNKNOWN = 1e-7
 #: Parts of one length are scored together, at most so many at once; the fewer, the longer above LONG.
 TOGETHER, LONG = 4_000, 24
 #: Scores of words that a worker remembers, and the characters of the texts it looks at together.
-REMEMBERED = 500_000
-CHARS_PER_GROUP = 2_000_000
+REMEMBERED = 100_000
+CHARS_PER_GROUP = 500_000
 UNDECIDED = "und"
 
 
@@ -326,7 +326,7 @@ def identify(docs: DataFrame, model: Model, vocabulary_path: str, text_col: str
                         held.forget()
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
 
-    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return small_batches(docs.select(*keep, F.col(text_col).alias("__text"))).mapInArrow(run, schema)
 
 
 def held_out(id_col: str | Column = "doc_id") -> Column:
