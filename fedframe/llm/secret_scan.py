@@ -3,8 +3,8 @@
 Every version of a text is a blob, named by its SHA-256. The ledger, two folders
 of Parquet files, holds which rule versions have scanned which blob, and the
 findings. A scan looks for the pairs of blob and rule version that the ledger
-lacks, scans one copy of each such blob with those rules alone, appends findings
-and then pairs, and joins the findings of all blobs back to all paths. Findings
+lacks, scans one copy of each such blob with those rules alone (rows that share
+their id too are looked at together and count once), appends findings and then pairs, and joins the findings of all blobs back to all paths. Findings
 whose pair was never recorded, as after a crash, are not read; repeats are merged.
 """
 
@@ -68,7 +68,8 @@ def matches(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """blob, text, rules (names to apply) to blob, rule, start, end; code points, end exclusive.
 
     The parts between a rule's matches and the matches themselves alternate, so a
-    running sum of their lengths gives every match its place.
+    running sum of their lengths gives every match its place. Rows that repeat a
+    blob have equal pieces, of which one stays.
     """
     text = F.col("text")
 
@@ -80,7 +81,7 @@ def matches(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
 
     parts = [pieces(rule) for rule in rules]
     lowered = blobs.select("blob", "rules", "text", F.lower("text").alias("lower"))
-    found = lowered.select("blob", F.explode(F.flatten(F.array_compact(F.array(*parts)))).alias("m")).select("blob", "m.*")
+    found = lowered.select("blob", F.explode(F.flatten(F.array_compact(F.array(*parts)))).alias("m")).select("blob", "m.*").dropDuplicates(["blob", "rule", "i"])
     so_far = W.partitionBy("blob", "rule").orderBy("i")
     found = found.withColumn("end", F.sum(F.col("gap") + F.coalesce("hit", F.lit(0))).over(so_far))
     return found.where("kept").select("blob", "rule", (F.col("end") - F.col("hit")).cast("long").alias("start"), F.col("end").cast("long").alias("end"))

@@ -62,3 +62,13 @@ def test_redaction(spark):
     found = secret_scan.scan(df).join(df, "doc_id")
     got = {r.doc_id: r.t for r in found.select("doc_id", secret_scan.redact(F.col("text"), F.col("spans")).alias("t")).collect()}
     assert got == {1: "a [SECRET] b [SECRET] c", 2: "clean", 3: None}
+
+
+def test_repeated_rows_have_the_spans_of_one(spark, tmp_path):
+    text = "xx password=abcdefgh yy"
+    rows = [(1, text)] * 2 + [(None, "z " + text)] * 3 + [(None, "both " + text), (4, "both " + text), (4, "both " + text)]
+    ledger = secret_scan.BlobLedger(spark, f"{tmp_path}/ledger")
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ledger.scan(df).select("doc_id", secret_scan.span_text(F.col("spans")).alias("s")).collect()
+    assert sorted(((r.doc_id or 0), r.s) for r in got) == sorted(((i or 0), spelled(brute(t))) for i, t in rows)
+    assert ledger.findings().count() == 3
