@@ -31,10 +31,21 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """MinHash near-dedup: of each component the document with the smallest id stays."""
+    """MinHash near-dedup: of each component one row stays, of the smallest id.
+
+    Rows that repeat id and text are one document, of which any row stays, also
+    where ids are null. A row goes if its own text's verdict says so, whatever
+    other rows of its id do.
+    """
     ship(spark)
-    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    kept = materialise(minhash.survivors(docs).withColumnsRenamed({"id": "__id", "digest": "__digest"}), "kept")
+    digest = F.sha2("text", 256)
+
+    def of(wanted: DataFrame) -> DataFrame:
+        return docs.join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")) & digest.eqNullSafe(F.col("__digest")), "left_semi")
+
+    out, repeated = of(kept.where("copies = 1")), kept.where("copies > 1")
+    return out if repeated.isEmpty() else out.union(of(repeated).dropDuplicates(["doc_id", "text"]))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,6 +25,7 @@ No bucket, partner or candidate is capped. Nothing but counts reaches the driver
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -96,25 +97,25 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(heads), pa.array(np.concatenate([*values, np.zeros(0, np.int64)]).astype(np.int64)))
 
 
-def signed(docs: DataFrame, id_col: str, text_col: str, width: int, coordinates: int) -> DataFrame:
-    """id, n (set size), node (class of equal sets, null for the empty set), sig (empty for it)."""
+def signed(docs: DataFrame, id_col: str, text_col: str, width: int, coordinates: int, digests: bool = False) -> DataFrame:
+    """id, n (set size), node (class of equal sets, null for the empty set), sig (empty for it), and digest (SHA-256 of the text, null for none) if asked for."""
     kind = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(x.as_py(), width) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([len(x) for x in sets], pa.int64()),
-                    pa.array([_class_of(x) if len(x) else None for x in sets], pa.int64()),
-                    _lists([signature(x, coordinates) if len(x) else np.zeros(0, np.int64) for x in sets]),
-                ],
-                names=["id", "n", "node", "sig"],
-            )
+            columns = [
+                batch.column(0),
+                pa.array([len(x) for x in sets], pa.int64()),
+                pa.array([_class_of(x) if len(x) else None for x in sets], pa.int64()),
+                _lists([signature(x, coordinates) if len(x) else np.zeros(0, np.int64) for x in sets]),
+            ]
+            if digests:
+                columns.append(pa.array([hashlib.sha256(x.as_py().encode()).hexdigest() if x.is_valid else None for x in batch.column(1)], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "node", "sig", "digest"][: len(columns)])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return small_batches(rows).mapInArrow(run, f"id {kind.simpleString()}, n long, node long, sig array<long>")
+    return small_batches(rows).mapInArrow(run, f"id {kind.simpleString()}, n long, node long, sig array<long>" + (", digest string" if digests else ""))
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -197,25 +198,9 @@ def _near(n: Column, m: Column, percent: int) -> Column:
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
-def near_duplicates(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    width: int = SHINGLE,
-    percent: int = PERCENT,
-    coordinates: int = COORDINATES,
-    matches: int = MATCHES,
-) -> DataFrame:
-    """Components of the documents whose shingle sets have a Jaccard similarity of percent or more.
-
-    Returns one row per input row: id_col, n_shingles, component_id (the smallest
-    id reachable, the row's own included), kept (id equals component_id). Null,
-    empty and blank texts have no shingles and are linked with nothing: their
-    component is their own id. Rows that repeat an id are rows of their own; those
-    that are the component's smallest id are all kept. A null id is the component
-    only where no member has an id. An empty table gives an empty result.
-    """
-    rows = materialise(signed(docs, id_col, text_col, width, coordinates), "signed")
+def labelled(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, coordinates: int, matches: int, digests: bool = False) -> DataFrame:
+    """Each row's id, n, digest (if asked for), root (names its component, null for the empty set) and component (see near_duplicates)."""
+    rows = materialise(signed(docs, id_col, text_col, width, coordinates, digests), "signed")
     classes = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.any_value("n").alias("n"), F.any_value("sig").alias("sig"))
     classes = materialise(classes, "classes")
 
@@ -253,10 +238,43 @@ def near_duplicates(
 
     labels = classes.select("node", "id").join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     least = labels.groupBy("root").agg(F.min("id").alias("component"))
-    labels = labels.join(least, "root").select("node", "component")
-    out = rows.select("id", "n", "node").join(labels, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    labels = labels.join(least, "root").select("node", "root", "component")
+    out = rows.select("id", "n", "node", *(["digest"] if digests else [])).join(labels, "node", "left")
+    return out.withColumn("component", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component"))).drop("node")
+
+
+def near_duplicates(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    width: int = SHINGLE,
+    percent: int = PERCENT,
+    coordinates: int = COORDINATES,
+    matches: int = MATCHES,
+) -> DataFrame:
+    """Components of the documents whose shingle sets have a Jaccard similarity of percent or more.
+
+    Returns one row per input row: id_col, n_shingles, component_id (the smallest
+    id reachable, the row's own included), kept (id equals component_id). Null,
+    empty and blank texts have no shingles and are linked with nothing: their
+    component is their own id. Rows that repeat an id are rows of their own; those
+    that are the component's smallest id are all kept. A null id is the component
+    only where no member has an id. An empty table gives an empty result.
+    """
+    out = labelled(docs, id_col, text_col, width, percent, coordinates, matches)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
+
+
+def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, digest (SHA-256 of the text, null for none) and copies (rows that have both) of the one document that stays of each component.
+
+    It is the one of the smallest id, of several texts with that id the one whose
+    digest is least. Texts without shingles stay once for each id and text.
+    """
+    rows = labelled(docs, id_col, text_col, SHINGLE, PERCENT, COORDINATES, MATCHES, digests=True).where(F.col("id").eqNullSafe(F.col("component")))
+    rows = rows.groupBy("root", "id", "digest").agg(F.count("*").alias("copies"))
+    alone = [F.when(F.col("root").isNull(), F.col(c)).alias(f"own_{c}") for c in ("id", "digest")]
+    return rows.groupBy("root", *alone).agg(F.min(F.struct("digest", "id", "copies")).alias("one")).select("one.id", "one.digest", "one.copies")
 
 
 NEAR_SQL = """

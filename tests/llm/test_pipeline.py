@@ -51,3 +51,15 @@ def test_run_and_odd_tables(spark, sf, odd, empty):
         for _, f in p.STAGES:
             docs = f(spark, docs, sf)
         docs.collect()
+
+
+def test_copies_of_an_id_do_not_outlive(spark, sf):
+    from odd import words
+
+    a, b, c = words(80, 21), words(80, 22), words(80, 23)
+    rows = [(1, a), (2, b), (2, b), (3, a), (3, c), (None, c + " end"), (None, words(80, 24)), (None, words(80, 24)), (None, a), (4, None), (4, None), (4, ""), (5, None), (6, a + " end"), (7, words(80, 25)), (7, words(80, 25) + " end")]
+    table = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in stage("near_duplicates", spark, table, sf).collect()]
+    sevens = [x for x in got if x[0] == 7]
+    assert len(sevens) == 1 and sevens[0] in rows
+    assert sorted((x for x in got if x[0] != 7), key=repr) == sorted([(1, a), (2, b), (3, c), (None, words(80, 24)), (4, None), (4, ""), (5, None)], key=repr)
