@@ -37,14 +37,21 @@ CONFIDENCE = 0.95
 def repeat_words(words: Column, n_words: Column) -> Column:
     """Words that stand in a three-word window found at least twice in the text.
 
-    Windows are compared by 64-bit hashes less the bits that hold their position.
-    They are sorted, and equal neighbours name the positions that repeat.
+    Windows are sorted by 64-bit hashes less the bits that hold their position, and
+    equal neighbours name the positions that may repeat: all that do are among them.
+    Those alone are then sorted by their words, so that the count is exact.
     """
 
-    def covered(pairs: Column) -> Column:
-        starts = F.array_distinct(F.flatten(F.transform(pairs, lambda x: F.array(F.shiftright(x, 31), x.bitwiseAND(F.lit(2**31 - 1))))))
-        inside = F.flatten(F.transform(starts, lambda p: F.array(p, p + 1, p + 2)))
-        return F.when(F.size(pairs) == 0, F.lit(0)).otherwise(F.size(F.array_distinct(inside)))
+    def covered(ordered: Column) -> Column:
+        k = F.size(ordered) - 1
+        same = lambda a, b: F.when((a["a"] == b["a"]) & (a["b"] == b["b"]) & (a["c"] == b["c"]), F.array(a["p"], b["p"])).otherwise(F.array().cast("array<int>"))
+        starts = F.array_distinct(F.flatten(F.zip_with(F.slice(ordered, F.lit(1), k), F.slice(ordered, F.lit(2), k), same)))
+        return F.size(F.array_distinct(F.flatten(F.transform(starts, lambda p: F.array(p, p + 1, p + 2)))))
+
+    def exact(pairs: Column) -> Column:
+        starts = F.array_distinct(F.flatten(F.transform(pairs, lambda x: F.array(F.shiftright(x, 31).cast("int"), x.bitwiseAND(F.lit(2**31 - 1)).cast("int")))))
+        window = lambda p: F.struct(F.get(words, p).alias("a"), F.get(words, p + 1).alias("b"), F.get(words, p + 2).alias("c"), p.alias("p"))
+        return F.when(F.size(pairs) == 0, F.lit(0)).otherwise(let(F.sort_array(F.transform(starts, window)), covered))
 
     def in_order(ordered: Column, m: Column, low: Column) -> Column:
         high = F.bitwise_not(low)
@@ -54,7 +61,7 @@ def repeat_words(words: Column, n_words: Column) -> Column:
             F.slice(ordered, F.lit(2), m - 1),
             lambda a, b: F.when(same(a, b), F.shiftleft(a.bitwiseAND(low), 31).bitwiseOR(b.bitwiseAND(low))).otherwise(F.lit(-1).cast("long")),
         )
-        return let(F.filter(packed, lambda x: x >= 0), covered)
+        return let(F.filter(packed, lambda x: x >= 0), exact)
 
     def windows(hashes: Column, m: Column) -> Column:
         pairs = F.zip_with(F.slice(hashes, F.lit(1), m), F.slice(hashes, F.lit(2), m), lambda a, b: F.xxhash64(a, b))

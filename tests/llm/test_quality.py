@@ -63,3 +63,12 @@ def test_cutoffs_keep_their_promise(spark):
     assert cuts["big"].cut_symbol_share == 0.3  # 2 % of its good documents have a share of 0.2, more than the risk
     assert cuts["big"].cut_repeat_share == 0.25  # the laxest of those that reject the same
     assert cuts["big"].cut_dup_line_share is None and cuts["big"].cut_mean_word_length is None
+
+
+def test_repeats_are_exact_when_hashes_collide(spark, monkeypatch):
+    texts = ["a b c d e f", "a b c x a b c y a b c", "a b c d a b c e f g h d a b", "a a a a", "p q r s t u v w x y z p q r"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    real = F.xxhash64
+    monkeypatch.setattr(quality.F, "xxhash64", lambda *c: real(*c).bitwiseAND(F.lit(1 << 40).cast("long")))  # two values
+    got = {r.id: r.n_repeat_words for r in quality.features(df, stratum_col=None).collect()}
+    assert got == {i: brute(t)[4] for i, t in enumerate(texts)}
