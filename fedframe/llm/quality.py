@@ -5,8 +5,9 @@ shuffle of texts. Cutoffs are then selected on a labelled holdout: a cutoff of a
 feature may be used in a stratum only if the exact binomial upper bound of the
 share of good documents that it rejects there is within its part of the risk, at
 a confidence that is divided by the number of all tests made (features, cutoffs
-and strata). Of those that pass, the strictest is used; without one, the feature
-rejects nothing in that stratum.
+and strata). Of those that pass and reject LEAST_GAIN more of the bad documents
+than of the good, the one of the largest gain is used, the laxest among equals;
+without one, the feature rejects nothing in that stratum.
 """
 
 from __future__ import annotations
