@@ -1,7 +1,7 @@
 """Chat formatting by relational operations and Spark expressions only.
 
-A conversation's turns are collected as structs and sorted; adjacent turns of one
-role share a block. The template is
+Windows find adjacent turns of one role, which share a block, and sum offsets; the
+finished pieces are collected as structs, sorted and joined. The template is
 
     <|turn|>ROLE<|text|>TEXT<|next|>TEXT...<|end|>\\n
 
