@@ -36,18 +36,15 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
     """Encode and decode every document; digests of ids and decoded text, and the bytes that the spans cover."""
     model = model or tokenizer("piece_bpe_32k.model")
-    encoded = sentencepiece_codec.encode(_table(spark, sf_dir, "documents"), model)
-    facts = encoded.select(
-        F.struct(
-            "doc_id",
-            F.size("ids").cast("long").alias("n_tokens"),
-            F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
-            F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).cast("long").alias("n_bytes_covered"),
-        ).alias("facts"),
-        "ids",
+    coded = sentencepiece_codec.encode(_table(spark, sf_dir, "documents"), model, decoded=True)
+    listed = F.replace(F.btrim(F.col("ids").cast("string"), F.lit("[]")), F.lit(", "), F.lit(","))  # "[1, 2]" is one string, not one for each id
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(listed, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).cast("long").alias("n_bytes_covered"),
     )
-    decoded = sentencepiece_codec.decode(facts, model, keep=("facts",))
-    return decoded.select("facts.doc_id", "facts.n_tokens", "facts.ids_sha256", F.sha2(F.col("decoded"), 256).alias("decoded_sha256"), "facts.n_bytes_covered")
 
 
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,16 +6,19 @@ match stays), white space is treated as the model says, and each normalised byte
 records the original byte it came from. The library's segmentation then runs on
 the normalised text with its own normalisation turned off, and every piece's
 normalised bytes are projected through that record to a span of original bytes.
+Where the model's map has no keys, no prefix matches anywhere: every character
+stays, and the same record is made without walking the text byte by byte.
 """
 
 from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +28,9 @@ from .common import small_batches
 
 SPACE = "▁"
 MARK = SPACE.encode()
-#: Texts are encoded and handed on in groups of at most so many characters (or one text).
-CHARS_PER_GROUP = 1_000_000
+#: Texts are encoded and handed on in groups of at most so many characters (or one text): beside its text, a
+#: character costs a worker up to about 60 bytes of offsets, ids and pieces.
+CHARS_PER_GROUP = 250_000
 
 
 class CharacterMap:
@@ -56,11 +60,12 @@ class CharacterMap:
 
 
 class Codec:
-    """One model's normaliser, encoder and decoder."""
+    """One model's normaliser, encoder and decoder; the decoder is loaded when it is first used."""
 
     def __init__(self, path: str):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
+        self.path = path
         with open(path, "rb") as f:
             raw = f.read()
         model = pb.ModelProto()
@@ -69,11 +74,14 @@ class Codec:
         self.map = CharacterMap(spec.precompiled_charsmap)
         self.prefix, self.squeeze, self.escape = spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces
         self.suffix = model.trainer_spec.treat_whitespace_as_suffix
-        self.plain = sentencepiece.SentencePieceProcessor(model_proto=raw)
         spec.precompiled_charsmap, spec.add_dummy_prefix, spec.remove_extra_whitespaces = b"", False, False
         self.inner = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
         self.lengths = np.array([1 if p.type == p.BYTE else len(p.piece.encode()) for p in model.pieces], np.int64)
-        self.unknown = self.plain.unk_id()
+        self.unknown = self.inner.unk_id()
+
+    @cached_property
+    def plain(self) -> sentencepiece.SentencePieceProcessor:
+        return sentencepiece.SentencePieceProcessor(model_file=self.path)
 
     def normalise(self, text: str) -> tuple[str, np.ndarray]:
         """The normalised text, and for each of its bytes the original byte; one more entry is the end."""
@@ -128,16 +136,16 @@ class Codec:
 
     def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For each text its ids and each piece's first and last-plus-one original byte."""
-        normal = [self.normalise(x) for x in texts]
-        for (text, where), ids in zip(normal, self.inner.encode([x for x, _ in normal], num_threads=1), strict=True):
-            ids = np.asarray(ids, np.int32)
+        for original in texts:
+            text, where = self.normalise(original)
+            ids = np.asarray(self.inner.encode(text), np.int32)
             if self.unknown in ids:
                 proto = self.inner.encode(text, out_type="immutable_proto")
                 ends = np.cumsum([len(p.surface.encode()) for p in proto.pieces], dtype=np.int64)
             else:
                 ends = np.cumsum(self.lengths[ids])
-            begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-            yield ids, where[begins], where[ends]
+            begins = np.concatenate([[0], ends])[:-1].astype(np.int64)
+            yield ids, where[begins].astype(np.int32), where[ends].astype(np.int32)
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.plain.decode(ids) if ids else []
@@ -163,28 +171,32 @@ def _field(df: DataFrame, col: str) -> T.StructField:
     return T.StructField(col, df.schema[col].dataType)
 
 
-def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), decoded: bool = False) -> DataFrame:
     """Ids and original byte spans of every whole text.
 
-    Returns id_col, the columns in keep, ids array<int>, begins array<long> and
-    ends array<long>: piece i covers the UTF-8 bytes from begins[i] to ends[i].
-    Pieces of white space that normalisation adds are empty spans. A null text
-    is an empty one and has no ids. One row per input row, in any order. model
-    is a path that every executor can read.
+    Returns id_col, the columns in keep, ids, begins and ends (array<int>): piece i
+    covers the UTF-8 bytes from begins[i] to ends[i]; a Spark string has less than
+    2**31. Pieces of white space that normalisation adds are empty spans. With
+    decoded, one more column holds what the model's decoder makes of the ids, by
+    the same worker. A null text is an empty one and has no ids. One row per input
+    row, in any order. model is a path that every executor can read.
     """
     columns = [id_col, *keep]
-    schema = T.StructType([*(_field(docs, c) for c in columns), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("begins", T.ArrayType(T.LongType())), T.StructField("ends", T.ArrayType(T.LongType()))])
+    found = [T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("ids", "begins", "ends")]
+    schema = T.StructType([*(_field(docs, c) for c in columns), *found, *([T.StructField("decoded", T.StringType())] if decoded else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(model)
         for batch in batches:
-            texts = [x or "" for x in batch.column(batch.num_columns - 1).to_pylist()]
-            for part in _groups([len(x) for x in texts], CHARS_PER_GROUP):
-                found = list(tool.encode(texts[part]))
-                heads = np.concatenate([[0], np.cumsum([len(x[0]) for x in found])]).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(heads), pa.array(np.concatenate([x[k] for x in found]))) for k in range(3)]
-                kept = [batch.column(i).slice(part.start, part.stop - part.start) for i in range(len(columns))]
-                yield pa.RecordBatch.from_arrays([*kept, *lists], names=schema.names)
+            column = batch.column(batch.num_columns - 1)
+            for part in _groups(pc.fill_null(pc.utf8_length(column), 0).to_pylist(), CHARS_PER_GROUP):
+                n = part.stop - part.start
+                found = list(tool.encode([x or "" for x in column.slice(part.start, n).to_pylist()]))
+                heads = pa.array(np.concatenate([[0], np.cumsum([len(x[0]) for x in found])]).astype(np.int32))
+                out = [pa.ListArray.from_arrays(heads, pa.array(np.concatenate([x[k] for x in found]))) for k in range(3)]
+                if decoded:
+                    out.append(pa.array(tool.decode([x[0].tolist() for x in found]), pa.string()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(part.start, n) for i in range(len(columns))), *out], names=schema.names)
 
     return small_batches(docs.select(*columns, F.col(text_col).alias("__text"))).mapInArrow(run, schema)
 
@@ -204,7 +216,7 @@ def decode(encoded: DataFrame, model: str, ids_col: str = "ids", keep: tuple[str
         for batch in batches:
             column = batch.column(at)
             sizes = [0 if n is None else n for n in column.value_lengths().to_pylist()]
-            for part in _groups(sizes, CHARS_PER_GROUP // 2):
+            for part in _groups(sizes, CHARS_PER_GROUP // 4):
                 ids = [x or [] for x in column.slice(part.start, part.stop - part.start).to_pylist()]
                 kept = [batch.column(i).slice(part.start, part.stop - part.start) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(tool.decode(ids), pa.string())], names=schema.names)

@@ -26,7 +26,11 @@ def test_odd_rows_and_spans(odd, empty):
     by_ids = sorted(tuple(r.ids) for r in rows)
     assert by_ids == sorted(tuple(PLAIN.encode(r[1] or "")) for r in odd_rows())
     assert S.encode(empty, MODEL).count() == 0
+    codec = S.codec(MODEL)
+    alone = {tuple(i.tolist()): (b.tolist(), e.tolist()) for i, b, e in (next(codec.encode([r[1] or ""])) for r in odd_rows())}
+    assert all((r.begins, r.ends) == alone[tuple(r.ids)] for r in rows)  # empty texts shift nothing in their group
     decoded = S.decode(S.encode(odd, MODEL), MODEL).collect()
+    assert sorted(r.decoded for r in S.encode(odd, MODEL, decoded=True).collect()) == sorted(r.decoded for r in decoded)
     assert sorted(r.decoded for r in decoded) == sorted(PLAIN.decode(PLAIN.encode(r[1] or "")) for r in odd_rows())
 
 
@@ -66,3 +70,29 @@ def test_columns_kept(odd):
     df = S.encode(odd, MODEL, keep=("ids", "lang")) if False else S.encode(odd.drop("ids"), MODEL, keep=("lang",))
     assert df.columns == ["doc_id", "lang", "ids", "begins", "ends"]
     assert df.where(F.size("ids") != F.size("begins")).count() == 0
+
+
+def test_a_model_with_a_map_over_the_whole_table(spark, sf, texts, tmp_path):
+    """The dealt model's pieces behind a compiled map: the walk over the map gives the library's ids for every text."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    try:
+        library = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc_cf", add_dummy_prefix=True, remove_extra_whitespaces=True, escape_whitespaces=True)
+        spec, model = pb.ModelProto(), pb.ModelProto()
+        spec.ParseFromString(library.serialized_model_proto())
+    except (AttributeError, RuntimeError) as e:
+        pytest.skip(str(e))
+    with open(MODEL, "rb") as f:
+        model.ParseFromString(f.read())
+    model.normalizer_spec.CopyFrom(spec.normalizer_spec)
+    path = tmp_path / "mapped.model"
+    path.write_bytes(model.SerializeToString())
+    assert S.Codec(str(path)).map.units
+    plain = sentencepiece.SentencePieceProcessor(model_file=str(path))
+    got = {r.doc_id: r for r in queries.op2_sentencepiece(spark, sf, str(path)).collect()}
+    assert len(got) == len(texts)
+    for doc_id, text in texts:
+        ids = plain.encode(text)
+        r = got[doc_id]
+        assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() and r.n_bytes_covered <= len(text.encode())
+        assert r.decoded_sha256 == hashlib.sha256(plain.decode(ids).encode()).hexdigest()
