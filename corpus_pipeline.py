@@ -72,10 +72,9 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     model = tokenizer("piece_bpe_32k.model")
     named = docs.select("doc_id", "lang", "source", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
-    encoded = sentencepiece_codec.encode(named, model, keep=("lang", "source", "digest"))
-    decoded = sentencepiece_codec.decode(encoded, model, keep=("doc_id", "lang", "source", "digest", "ids"))
+    coded = sentencepiece_codec.encode(named, model, keep=("lang", "source", "digest"), decoded=True)
     same = F.sha2("decoded", 256) == F.col("digest")
-    return decoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("decodes"))
+    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("decodes"))
 
 
 STAGES = [
