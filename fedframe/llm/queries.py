@@ -81,22 +81,28 @@ def op4_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None,
     return after.select("facts.doc_id", F.col("facts.before").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_edited"), F.sha2("text", 256).alias("edited_sha256"), F.size("leaf_chars").cast("long").alias("n_leaves_edited"), "n_encoded")
 
 
-def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Append all documents as small shards, compact them and read the last version back.
+def op5_sharding(spark: SparkSession, sf_dir: str, arrivals: int = 4) -> DataFrame:
+    """Append all documents as small shards in several arrivals, compact them and read the last version back.
 
-    For each document: a digest of its text, how many rows the store has of it,
-    and whether its shard is as the manifest says and of at most the target size.
+    A document arrives with those that a hash of its id puts beside it; together
+    the arrivals are the whole table. For each document: a digest of its text, how
+    many rows the store has of it, whether its shard is as the manifest says and of
+    at most the target size, and whether compaction left fewer shards.
     """
-    store = sharding.ShardStore(spark, common.scratch_path(spark, "shards"))
-    store.append(_table(spark, sf_dir, "documents"))
+    docs, store = _table(spark, sf_dir, "documents"), sharding.ShardStore(spark, common.scratch_path(spark, "shards"))
+    turn = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(arrivals)), F.lit(0))
+    for k in range(arrivals):
+        store.append(docs.where(turn == k))
+    appended = store.manifest().shards
     store.compact()
-    store.vacuum()
-    rows = store.read().select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), F.regexp_extract(F.col("_metadata.file_path"), r"data/[^/]+/[^/]+$", 0).alias("shard"))
+    store.vacuum(grace_seconds=0)  # no one else writes here
+    rows = store.read(shard_col="__shard").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), F.col("__shard").alias("shard"))
     facts = store.shards()
     found = rows.groupBy("shard").agg(F.count("*").alias("found")).join(facts, "shard")
     good = found.select("shard", ((F.col("found") == F.col("rows")) & (F.col("bytes") <= store.target)).alias("shard_ok"))
     copies = rows.groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n_copies"), F.min("shard").alias("shard"))
-    return copies.join(good, "shard", "left").select("doc_id", "text_sha256", "n_copies", F.coalesce("shard_ok", F.lit(False)).alias("shard_ok"))
+    compacted = F.lit(store.manifest().shards < appended)
+    return copies.join(good, "shard", "left").select("doc_id", "text_sha256", "n_copies", F.coalesce("shard_ok", F.lit(False)).alias("shard_ok"), compacted.alias("compacted"))
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,7 +164,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_secrets": secret_scan.secrets_sql(),
         "op3_chat": chat.CHAT_SQL,
-        "op5_sharding": """SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256, count(*) AS n_copies, true AS shard_ok
+        "op5_sharding": """SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256, count(*) AS n_copies, true AS shard_ok, true AS compacted
             FROM documents GROUP BY ALL""",
         "op6_minhash": minhash.NEAR_SQL,
         "op8_mixing": mixing.MIX_SQL,

@@ -1,19 +1,24 @@
 """Immutable shards, size-tiered compaction and a versioned manifest (DataFrame functions only).
 
 Arrivals are appended as they come, one small file a task. Shards of similar size
-form a tier; a tier with enough of them is merged, by reading their files and
-writing them as files of about the target size, without a shuffle. Each change
-writes a new manifest and commits it by a rename that fails if another writer was
-first; readers use the highest version, and files that no kept version names can
-be removed. A lost task is run again by Spark's own commit protocol, and a write
-that dies leaves files that no manifest names.
+form a tier; tiers with enough of them are merged in one job, without a shuffle:
+Spark packs whole files, ordered by size, into scan partitions of about the target
+size, and each partition is written as one file. A version is a small file that
+names the table's schema and its list of shards, a Parquet table, so neither plans
+nor the driver grow with the number of shards. Each change writes a new list and
+commits it by a rename that fails if another writer was first, which HDFS, local
+disks and object stores with atomic renames promise; readers use the highest
+version. A lost task is run again by Spark's own commit protocol, and a write that
+dies leaves files that no version names.
 """
 
 from __future__ import annotations
 
 import json
-import math
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +29,11 @@ TARGET_BYTES = 128 << 20
 #: Shards of one tier that are merged; sizes of a tier are within this factor.
 FANOUT = 4
 SMALLEST = 1 << 16
+#: Shards that one round merges; a round follows until nothing is due.
+FILES_PER_ROUND = 100_000
+#: Shards in a file of a version's list.
+SHARDS_PER_LIST = 500_000
+SHARD = "shard string, bytes long, rows long"
 
 
 class CommitConflict(RuntimeError):
@@ -31,10 +41,13 @@ class CommitConflict(RuntimeError):
 
 
 @dataclass(frozen=True)
-class Shard:
-    path: str
-    bytes: int
-    rows: int
+class Version:
+    """A committed state: its number, the table's schema as JSON, and where its list of so many shards is."""
+
+    version: int = 0
+    schema: str | None = None
+    listed: str | None = None
+    shards: int = 0
 
 
 class ShardStore:
@@ -56,23 +69,25 @@ class ShardStore:
         names = [x.getPath().getName() for x in self._list("manifest")]
         return sorted(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json"))
 
-    def manifest(self, version: int | None = None) -> tuple[int, str | None, list[Shard]]:
-        """Version, schema as JSON and shards; version 0 is the empty store."""
+    def manifest(self, version: int | None = None) -> Version:
+        """A version, by default the last; version 0 is the empty store."""
         known = self.versions()
         version = (known[-1] if known else 0) if version is None else version
         if version == 0:
-            return 0, None, []
+            return Version()
         stream = self._fs.open(self._where(f"manifest/v{version:010d}.json"))
         try:
-            held = json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            return Version(**json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
         finally:
             stream.close()
-        return version, held["schema"], [Shard(**x) for x in held["shards"]]
 
-    def _commit(self, version: int, schema: str, shards: list[Shard]) -> int:
-        """Publish version + 1; the rename is the commit."""
-        text = json.dumps({"version": version + 1, "schema": schema, "shards": [asdict(x) for x in shards]})
-        draft, final = self._where(f"draft/{uuid.uuid4().hex}"), self._where(f"manifest/v{version + 1:010d}.json")
+    def _commit(self, old: Version, schema: str, shards: DataFrame) -> int:
+        """Publish the version after old; the rename is the commit."""
+        listed = f"lists/{uuid.uuid4().hex}"
+        shards.coalesce(1 + old.shards // SHARDS_PER_LIST).write.parquet(f"{self.path}/{listed}")
+        n = self.spark.read.schema(SHARD).parquet(f"{self.path}/{listed}").count()
+        text = json.dumps(asdict(Version(old.version + 1, schema, listed, n)))
+        draft, final = self._where(f"draft/{uuid.uuid4().hex}"), self._where(f"manifest/v{old.version + 1:010d}.json")
         self._fs.mkdirs(self._where("manifest"))
         stream = self._fs.create(draft, False)
         try:
@@ -81,99 +96,114 @@ class ShardStore:
             stream.close()
         if self._fs.exists(final) or not self._fs.rename(draft, final):
             self._fs.delete(draft, False)
-            raise CommitConflict(f"version {version + 1} exists")
-        return version + 1
+            raise CommitConflict(f"version {old.version + 1} exists")
+        return old.version + 1
 
-    def _write(self, df: DataFrame) -> list[Shard]:
+    def _write(self, df: DataFrame) -> DataFrame:
+        """Write df's partitions as files: shard, bytes, rows of each that has rows."""
         name = f"data/{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(f"{self.path}/{name}")
-        sizes = {x.getPath().getName(): x.getLen() for x in self._list(name) if x.getPath().getName().endswith(".parquet")}
-        written = self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
-        counts = written.groupBy(F.col("_metadata.file_name").alias("file")).count().collect()  # a row for each file
-        return [Shard(f"{name}/{r['file']}", sizes[r["file"]], r["count"]) for r in counts]
+        files = self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}").select("_metadata.file_name", "_metadata.file_size")
+        return files.groupBy("file_name", "file_size").agg(F.count("*").alias("rows")).select(F.concat(F.lit(f"{name}/"), "file_name").alias("shard"), F.col("file_size").alias("bytes"), "rows")
 
     def append(self, arrivals: DataFrame) -> int:
         """Add rows as new small shards. All appends have the first one's schema; no rows add no shard."""
-        version, schema, shards = self.manifest()
+        last = self.manifest()
         own = T.StructType([T.StructField(f.name, f.dataType, True) for f in arrivals.schema])
-        if schema is not None and T.StructType.fromJson(json.loads(schema)) != own:
+        if last.schema is not None and T.StructType.fromJson(json.loads(last.schema)) != own:
             raise ValueError("the store has another schema")
-        return self._commit(version, own.json(), [*shards, *self._write(arrivals)])
-
-    def tier(self, shard: Shard) -> int:
-        return max(0, math.floor(math.log(max(shard.bytes, 1) / SMALLEST, self.fanout))) if shard.bytes > SMALLEST else 0
+        return self._commit(last, own.json(), self._shards(last).union(self._write(arrivals)))
 
-    def runs(self, shards: list[Shard]) -> list[list[Shard]]:
-        """What to merge: tiers with at least fanout shards that are not of target size yet.
+    def _shards(self, version: Version) -> DataFrame:
+        return self.spark.read.schema(SHARD).parquet(f"{self.path}/{version.listed}") if version.listed else self.spark.createDataFrame([], SHARD)
 
-        A run's shards fit one file of the target size; a shard that is left alone is not rewritten.
-        """
-        tiers: dict[int, list[Shard]] = {}
-        for x in shards:
-            if x.bytes < self.target / 2:
-                tiers.setdefault(self.tier(x), []).append(x)
-        out = []
-        for _, members in sorted(tiers.items()):
-            if len(members) < self.fanout:
-                continue
-            run: list[Shard] = []
-            for x in sorted(members, key=lambda s: (s.bytes, s.path)):
-                if run and sum(s.bytes for s in run) + x.bytes > self.target:
-                    out.append(run)
-                    run = []
-                run.append(x)
-            out.append(run)
-        return [x for x in out if len(x) > 1]
+    def shards(self, version: int | None = None) -> DataFrame:
+        """shard (path), bytes, rows, tier of a version; a row for each file."""
+        tier = F.floor(F.log(float(self.fanout), F.greatest(F.col("bytes") / F.lit(SMALLEST), F.lit(1.0))))
+        return self._shards(self.manifest(version)).withColumn("tier", tier.cast("int"))
+
+    def due(self, version: int | None = None) -> DataFrame:
+        """The shards to merge: those below half the target, of tiers that have at least fanout of them."""
+        small = self.shards(version).where(F.col("bytes") < self.target / 2)
+        full = small.groupBy("tier").count().where(F.col("count") >= self.fanout).select("tier")  # at most a row for each tier
+        return small.join(F.broadcast(full), "tier")
+
+    @contextmanager
+    def _packed(self) -> Iterator[None]:
+        """Scans that are planned inside take whole files up to the target into a partition."""
+        wanted = {"spark.sql.files.maxPartitionBytes": str(self.target * 15 // 16), "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
+        conf = self.spark.conf
+        before = {k: conf.get(k, None) for k in wanted}
+        try:
+            for k, v in wanted.items():
+                conf.set(k, v)
+            yield
+        finally:
+            for k, v in before.items():
+                conf.unset(k) if v is None else conf.set(k, v)
 
     def compact(self, max_rounds: int = 64) -> int:
-        """Merge runs until no tier has enough similar shards; returns the version.
+        """Merge until no tier has enough similar shards; returns the version.
 
-        One job merges all runs of a round, a task for each run and output file.
+        A round is one job, a task for each file it writes. A round that would not
+        leave fewer shards, as where a session fixes the scans' partitions, ends it.
         """
         for _ in range(max_rounds):
-            version, schema, shards = self.manifest()
-            runs = self.runs(shards)
-            if not runs:
-                return version
-            fields = T.StructType.fromJson(json.loads(schema))
-            merged = None
-            for run in runs:
-                one = self.spark.read.schema(fields).parquet(*[f"{self.path}/{x.path}" for x in run]).coalesce(1)
-                merged = one if merged is None else merged.union(one)
-            gone = {x.path for run in runs for x in run}
-            self._commit(version, schema, [*(x for x in shards if x.path not in gone), *self._write(merged)])
-        return self.manifest()[0]
-
-    def vacuum(self, keep: int = 1) -> int:
-        """Remove data files that none of the last `keep` versions name, and older manifests; returns how many files."""
+            last = self.manifest()
+            gone = self.due(last.version).orderBy("tier", "bytes", "shard").limit(FILES_PER_ROUND).select("shard").collect()
+            if len(gone) < 2:
+                return last.version
+            fields = T.StructType.fromJson(json.loads(last.schema))
+            with self._packed():
+                made = self._write(self.spark.read.schema(fields).parquet(*[f"{self.path}/{r.shard}" for r in gone]))
+            if made.count() >= len(gone):
+                return last.version
+            left = self._shards(last).join(self.spark.createDataFrame(gone, "shard string"), "shard", "left_anti")
+            self._commit(last, last.schema, left.union(made))
+        return self.manifest().version
+
+    def vacuum(self, keep: int = 1, grace_seconds: float = 86_400) -> int:
+        """Remove data files that none of the last `keep` versions name, and older versions; returns how many files.
+
+        Files that no version at all names may belong to a write that is yet to be
+        committed: their folders stay until they are grace_seconds old.
+        """
         known = self.versions()
-        named = {x.path for v in known[-keep:] for x in self.manifest(v)[2]}
+        old, kept = known[:-keep], known[-keep:]
+        none = self.spark.createDataFrame([], SHARD)
+        every = {}
+        for name, numbers in (("old", old), ("kept", kept)):
+            held = none
+            for v in numbers:
+                held = held.union(self._shards(self.manifest(v)))
+            every[name] = held.select("shard").distinct()
+        folder = F.regexp_extract("shard", "^data/([^/]+)/", 1).alias("folder")
+        live = {r.folder for r in every["kept"].select(folder).distinct().collect()}  # a name for each write, not each shard
+        past = {r.folder for r in every["old"].select(folder).distinct().collect()}
         removed = 0
-        for folder in self._list("data"):
-            name = f"data/{folder.getPath().getName()}"
-            files = [x.getPath().getName() for x in self._list(name) if x.getPath().getName().endswith(".parquet")]
-            dead = [x for x in files if f"{name}/{x}" not in named]
-            removed += len(dead)
-            if len(dead) == len(files):
-                self._fs.delete(folder.getPath(), True)
-            else:
-                for x in dead:
-                    self._fs.delete(self._where(f"{name}/{x}"), False)
-        for v in known[:-keep]:
+        dead = every["old"].join(every["kept"], "shard", "left_anti")
+        for r in dead.toLocalIterator():
+            removed += bool(self._fs.delete(self._where(r.shard), False))
+        before = (time.time() - grace_seconds) * 1000
+        for x in self._list("data"):
+            name = x.getPath().getName()
+            if name not in live and (name in past or x.getModificationTime() <= before):
+                removed += sum(f.getPath().getName().endswith(".parquet") for f in self._list(f"data/{name}"))
+                self._fs.delete(x.getPath(), True)
+        for v in old:
+            self._fs.delete(self._where(self.manifest(v).listed), True)
             self._fs.delete(self._where(f"manifest/v{v:010d}.json"), False)
         return removed
 
-    def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version (by default the last), with every column as it was appended."""
-        _, schema, shards = self.manifest(version)
-        if schema is None:
+    def read(self, version: int | None = None, shard_col: str | None = None) -> DataFrame:
+        """The rows of a version (by default the last), with every column as it was appended, and if asked for the shard of each."""
+        found = self.manifest(version)
+        if found.schema is None:
             raise ValueError("the store is empty")
-        fields = T.StructType.fromJson(json.loads(schema))
-        if not shards:
-            return self.spark.createDataFrame([], fields)
-        return self.spark.read.schema(fields).parquet(*[f"{self.path}/{x.path}" for x in shards])
-
-    def shards(self, version: int | None = None) -> DataFrame:
-        """shard (path), bytes, rows, tier of a version; a row for each file, as in the manifest."""
-        rows = [(x.path, x.bytes, x.rows, self.tier(x)) for x in self.manifest(version)[2]]
-        return self.spark.createDataFrame(rows, "shard string, bytes long, rows long, tier int")
+        fields = T.StructType.fromJson(json.loads(found.schema))
+        paths = [f"{self.path}/{r.shard}" for r in self._shards(found).select("shard").toLocalIterator()]  # as many as Spark's own index of the scan holds
+        if not paths:
+            rows = self.spark.createDataFrame([], fields)
+            return rows if shard_col is None else rows.withColumn(shard_col, F.lit(None).cast("string"))
+        rows = self.spark.read.schema(fields).parquet(*paths)
+        return rows if shard_col is None else rows.select("*", F.regexp_extract("_metadata.file_path", r"data/[^/]+/[^/]+$", 0).alias(shard_col))
