@@ -1,13 +1,16 @@
 """Quality rules with risk-controlled cutoffs (DataFrame functions only).
 
 The base rule and the features come from each whole text in one pass, without a
-shuffle of texts. Cutoffs are then selected on a labelled holdout: a cutoff of a
-feature may be used in a stratum only if the exact binomial upper bound of the
-share of good documents that it rejects there is within its part of the risk, at
-a confidence that is divided by the number of all tests made (features, cutoffs
-and strata). Of those that pass and reject LEAST_GAIN more of the bad documents
-than of the good, the one of the largest gain is used, the laxest among equals;
-without one, the feature rejects nothing in that stratum.
+shuffle of texts. Cutoffs are then selected on a labelled holdout. A chain is a
+fixed sequence of rules from lax to strict: one for each feature alone, and one
+that moves all features together. A rule is certified in a stratum if the exact
+binomial upper bound of the share of good documents that it rejects there is
+within the risk. Along a chain the rejected only grow, so its rules are tested in
+sequence until one fails, and the error allowed is divided among chains and strata
+alone, not among the rules of a chain. All certified rules hold together; of those
+that reject LEAST_GAIN more of the bad documents than of the good, a stratum uses
+the one of the largest gain, among equals that of fewer features and then the
+laxest; without one, only the base rule rejects there.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ CUTOFFS: dict[str, tuple[float, ...]] = {
     "repeat_share": (0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4),
     "mean_word_length": (7.0, 8.0, 9.0, 10.0, 12.0, 15.0, 20.0),
 }
-#: Of the good documents of a stratum, at most this share may be rejected by all features together.
+#: Of the good documents of a stratum, at most this share may be rejected by the rule that is used there.
 RISK = 0.02
 #: The share of bad documents that a cutoff rejects is to be above that of good ones by so much.
 LEAST_GAIN = 0.05
@@ -123,35 +126,45 @@ def binomial_tail(k: Column, n: Column, p: Column) -> Column:
     return F.when(k >= n * p, F.lit(1.0)).otherwise(F.least(F.lit(1.0), total))
 
 
+def chains(cutoffs: dict[str, tuple[float, ...]]) -> list[list[dict[str, float]]]:
+    """Sequences of rules (feature to cutoff) from strict to lax: each feature's, and all features' together."""
+    alone = [[{name: cut} for cut in cuts] for name, cuts in cutoffs.items()]
+    together = [dict(zip(cutoffs, level, strict=True)) for level in zip(*(cuts[-min(map(len, cutoffs.values())) :] for cuts in cutoffs.values()), strict=True)]
+    return [*alone, together] if len(cutoffs) > 1 else alone
+
+
+def _rejects(rule: dict[str, float]) -> Column:
+    over = F.lit(False)
+    for name, cut in rule.items():
+        over = over | (_value(name) > cut)
+    return over
+
+
 def select_cutoffs(held_out: DataFrame, cutoffs: dict[str, tuple[float, ...]], risk: float, confidence: float, least_gain: float = LEAST_GAIN) -> DataFrame:
     """The certified cutoffs of each stratum.
 
     held_out: rows of features() of labelled documents that the base rule keeps,
-    and good (boolean). Returns stratum and one column cut_<feature> (null: none
-    passed). The upper bound of the exact (Clopper-Pearson) interval is within the
-    risk just where the binomial tail at that risk is within the error allowed.
+    and good (boolean). Returns stratum and one column cut_<feature> (null: not in
+    the rule used). The upper bound of the exact (Clopper-Pearson) interval is within
+    the risk just where the binomial tail at that risk is within the error allowed.
     """
-    share = risk / len(cutoffs)
-    good = F.col("good")
+    good, known = F.col("good"), chains(cutoffs)
+    rules = [(rule, lax - 1000 * c) for c, chain in enumerate(known) for lax, rule in enumerate(chain)]  # and its rank among equal gains
     sums = [F.count_if(good).alias("n"), F.count_if(~good).alias("n_bad")]
-    for name, cuts in cutoffs.items():
-        for i, cut in enumerate(cuts):
-            over = _value(name) > cut
-            sums += [F.count_if(good & over).alias(f"k_{name}_{i}"), F.count_if(~good & over).alias(f"b_{name}_{i}")]
+    for i, (rule, _) in enumerate(rules):
+        sums += [F.count_if(good & _rejects(rule)).alias(f"k_{i}"), F.count_if(~good & _rejects(rule)).alias(f"b_{i}")]
     by_stratum = held_out.groupBy("stratum").agg(*sums)
     strata = by_stratum.agg(F.count("*").alias("strata"))
-    tests = sum(len(cuts) for cuts in cutoffs.values())
     by_stratum = by_stratum.join(F.broadcast(strata))  # one row
-    allowed = (1 - confidence) / (tests * F.col("strata"))
-    chosen = []
-    for name, cuts in cutoffs.items():
-        passed = []
-        for i, cut in enumerate(cuts):
-            gain = F.col(f"b_{name}_{i}") / F.greatest("n_bad", F.lit(1)) - F.col(f"k_{name}_{i}") / F.greatest("n", F.lit(1))
-            safe = binomial_tail(F.col(f"k_{name}_{i}"), F.col("n"), F.lit(share)) <= allowed
-            passed.append(F.when(safe & (gain >= least_gain), F.struct(gain.alias("gain"), F.lit(float(cut)).alias("cut"))))
-        chosen.append(F.array_max(F.array(*passed))["cut"].alias(f"cut_{name}"))
-    return by_stratum.select("stratum", *chosen)
+    allowed = (1 - confidence) / (len(known) * F.col("strata"))
+    passed = []
+    for i, (rule, rank) in enumerate(rules):
+        gain = F.col(f"b_{i}") / F.greatest("n_bad", F.lit(1)) - F.col(f"k_{i}") / F.greatest("n", F.lit(1))
+        safe = binomial_tail(F.col(f"k_{i}"), F.col("n"), F.lit(risk)) <= allowed
+        cuts = [F.lit(rule.get(name)).cast("double").alias(f"cut_{name}") for name in cutoffs]
+        passed.append(F.when(safe & (gain >= least_gain), F.struct(gain.alias("gain"), F.lit(rank).alias("rank"), *cuts)))
+    used = by_stratum.select("stratum", F.array_max(F.array(*passed)).alias("used"))
+    return used.select("stratum", *[F.col(f"used.cut_{name}") for name in cutoffs])
 
 
 def judge(
@@ -170,8 +183,8 @@ def judge(
     Returns one row per input row: id_col, n_words, word_chars, n_symbols,
     n_dup_lines, n_repeat_words, base_failed, kept. A null or empty text has no
     words and fails the base rule. kept is false if base_failed, or if a feature
-    is above the certified cutoff of the row's stratum. Null strata are one. Strata
-    with too few labelled good documents, or no bad ones, have no cutoffs. Labels
+    is above its cutoff in the rule of the row's stratum. Null strata are one. Strata
+    with too few labelled good documents, or no bad ones, have no rule. Labels
     are good (quality 1) or bad (any other); null ones don't count, and a document
     labelled in several rows counts once a row. Empty labels certify nothing.
     """
@@ -191,10 +204,10 @@ def quality_sql(cutoffs: dict[str, tuple[float, ...]] | None = None, risk: float
     """judge() over documents and labels in DuckDB SQL."""
     cutoffs = CUTOFFS if cutoffs is None else cutoffs
     shares = {"symbol_share": "n_symbols / greatest(word_chars, 1)", "dup_line_share": "n_dup_lines / greatest(n_lines, 1)", "repeat_share": "n_repeat_words / greatest(n_words, 1)", "mean_word_length": "word_chars / greatest(n_words, 1)"}
-    tests, p = sum(map(len, cutoffs.values())), risk / len(cutoffs)
-    grid = ", ".join(f"('{name}', CAST({cut!r} AS DOUBLE))" for name, cuts in cutoffs.items() for cut in cuts)
-    value = "CASE name " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in shares.items()) + " END"
-    bad = " OR ".join(f"coalesce({shares[k]} > (SELECT min(cut) FROM passed c WHERE c.name = '{k}' AND c.stratum IS NOT DISTINCT FROM f.stratum), false)" for k in cutoffs)
+    known = chains(cutoffs)
+    grid = ", ".join(f"({lax - 1000 * c}, {', '.join(f'CAST({rule.get(name, 'NULL')} AS DOUBLE)' for name in cutoffs)})" for c, chain in enumerate(known) for lax, rule in enumerate(chain))
+    over = lambda t: "(" + " OR ".join(f"coalesce({shares[name]} > {t}.cut_{name}, false)" for name in cutoffs) + ")"
+    names = ", ".join(f"cut_{name}" for name in cutoffs)
     return f"""
 WITH d AS (SELECT doc_id, lang AS stratum, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, stratum, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
@@ -206,11 +219,12 @@ f0 AS (SELECT w.doc_id, stratum, CAST(len(ws) AS BIGINT) AS n_words, CAST(coales
   CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN covered ON covered.doc_id = w.doc_id),
 f AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM f0),
 known AS (SELECT f.*, l.quality = 1 AS good FROM f JOIN labels l ON l.doc_id = f.doc_id WHERE l.quality IS NOT NULL AND NOT base_failed),
-tested AS (SELECT stratum, name, cut, count(*) FILTER (good) AS n, count(*) FILTER (NOT good) AS n_bad, count(*) FILTER (good AND {value} > cut) AS k,
-  count(*) FILTER (NOT good AND {value} > cut) AS b FROM known, (VALUES {grid}) c(name, cut) GROUP BY stratum, name, cut),
-bounds AS (SELECT *, b / greatest(n_bad, 1) - k / greatest(n, 1) AS gain, CASE WHEN k >= n * {p!r} THEN 1.0 ELSE list_sum(list_transform(range(CAST(greatest(0, k - 200 - floor(40 * sqrt(k))) AS BIGINT), k + 1),
-  lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p!r}) + (n - i) * ln(1 - {p!r})))) END AS tail,
-  {1 - confidence!r} / ({tests} * (SELECT count(*) FROM (SELECT DISTINCT stratum FROM known))) AS allowed FROM tested),
-passed AS (SELECT * FROM bounds WHERE tail <= allowed AND gain >= {LEAST_GAIN} QUALIFY row_number() OVER (PARTITION BY stratum, name ORDER BY gain DESC, cut DESC) = 1)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({bad}) AS kept FROM f
+tested AS (SELECT stratum, rank, {names}, count(*) FILTER (good) AS n, count(*) FILTER (NOT good) AS n_bad, count(*) FILTER (good AND {over("c")}) AS k,
+  count(*) FILTER (NOT good AND {over("c")}) AS b FROM known, (VALUES {grid}) c(rank, {names}) GROUP BY stratum, rank, {names}),
+bounds AS (SELECT *, b / greatest(n_bad, 1) - k / greatest(n, 1) AS gain, CASE WHEN k >= n * {risk!r} THEN 1.0 ELSE list_sum(list_transform(range(CAST(greatest(0, k - 200 - floor(40 * sqrt(k))) AS BIGINT), k + 1),
+  lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({risk!r}) + (n - i) * ln(1 - {risk!r})))) END AS tail,
+  {1 - confidence!r} / ({len(known)} * (SELECT count(*) FROM (SELECT DISTINCT stratum FROM known))) AS allowed FROM tested),
+used AS (SELECT * FROM bounds WHERE tail <= allowed AND gain >= {LEAST_GAIN} QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY gain DESC, rank DESC) = 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT {over("u")} AS kept
+FROM f LEFT JOIN used u ON u.stratum IS NOT DISTINCT FROM f.stratum
 """
