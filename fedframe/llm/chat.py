@@ -1,7 +1,7 @@
 """Chat formatting by relational operations and Spark expressions only.
 
-Windows find adjacent turns of one role, which share a block, and sum offsets; the
-finished pieces are collected as structs, sorted and joined. The template is
+A conversation's turns are collected as structs and sorted. Array functions then
+merge adjacent turns of one role into blocks and concatenate them. The template is
 
     <|turn|>ROLE<|text|>TEXT<|next|>TEXT...<|end|>\\n
 
@@ -13,9 +13,12 @@ mask is the list of the assistant texts' spans in the formatted string.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import let
+
+#: Turns whose lengths are summed one by one; sums of such groups give each group its start.
+GROUP = 128
 TURN, TEXT, NEXT, END = "<|turn|>", "<|text|>", "<|next|>", "<|end|>\n"
 
 
@@ -37,28 +40,63 @@ def format_chats(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     out by their id and no task holds more than those it is given.
     """
     role, text = F.coalesce(F.col(role_col), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))
-    turns = rows.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), role.alias("role"), text.alias("text"))
-    order = W.partitionBy("conv").orderBy("turn", "role", "text")
-    turns = turns.select(
-        "*",
-        F.row_number().over(order).alias("n"),
-        F.coalesce(F.lag("role").over(order) == F.col("role"), F.lit(False)).alias("joins"),
-        F.coalesce(F.lead("role").over(order) == F.col("role"), F.lit(False)).alias("goes_on"),
-    )
-    head = F.when(F.col("joins"), F.lit(NEXT)).otherwise(F.concat(F.lit(TURN), escape(F.col("role")), F.lit(TEXT)))
-    body, tail = escape(F.col("text")), F.when(F.col("goes_on"), F.lit("")).otherwise(F.lit(END))
-    turns = turns.select("conv", "n", "role", F.concat(head, body, tail).alias("piece"), F.length(head).alias("before"), F.length(body).alias("length"))
-    so_far = W.partitionBy("conv").orderBy("n").rowsBetween(W.unboundedPreceding, -1)
-    turns = turns.withColumn("start", F.coalesce(F.sum(F.length("piece")).over(so_far), F.lit(0)) + F.col("before"))
-    chats = turns.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("n", "role", "piece", F.col("start").cast("long").alias("start"), F.col("length").cast("long").alias("length")))).alias("turns"))
-    masked = F.filter("turns", lambda x: x["role"].isin(*loss_roles))
+    turn = F.struct(F.col(turn_col).alias("turn"), role.alias("role"), text.alias("text"))
+    turns = rows.select(F.col(conv_col).alias("conv"), turn.alias("turn"))
+    chats = turns.groupBy("conv").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
+    chats = chats.select("conv", _pieces(F.col("turns")).alias("pieces"))
+    chats = chats.select("conv", "pieces", starts(F.transform("pieces", lambda x: F.length(x["piece"]))).alias("starts"))
+    spans = F.zip_with("pieces", "starts", lambda x, s: F.struct(x["role"].alias("role"), (s + x["before"]).alias("start"), x["length"].alias("length")))
+    masked = F.filter(spans, lambda x: x["role"].isin(*loss_roles))
     return chats.select(
         F.col("conv").alias(conv_col),
-        F.array_join(F.transform("turns", lambda x: x["piece"]), "").alias("formatted"),
+        F.array_join(F.transform("pieces", lambda x: x["piece"]), "").alias("formatted"),
         F.transform(masked, lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length"))).alias("loss"),
     )
 
 
+def _pieces(turns: Column) -> Column:
+    """Sorted turns to pieces, the strings that make up the format: role, piece, characters before the text, and its own.
+
+    A block begins where the role is not the one before; its turns are the slice
+    up to the next beginning, joined as one block.
+    """
+
+    def block(known: Column, begins: Column, k: Column) -> Column:
+        begin, stop = begins[k], F.coalesce(F.get(begins, k + 1), F.size(known) + 1)
+        here = F.slice(known, begin, stop - begin)
+        role = known[begin - 1]["role"]
+
+        def piece(x: Column, i: Column) -> Column:
+            head = F.when(i > 0, F.lit(NEXT)).otherwise(F.concat(F.lit(TURN), escape(role), F.lit(TEXT)))
+            tail = F.when(i == stop - begin - 1, F.lit(END)).otherwise(F.lit(""))
+            body = escape(x["text"])
+            return F.struct(role.alias("role"), F.concat(head, body, tail).alias("piece"), F.length(head).cast("long").alias("before"), F.length(body).cast("long").alias("length"))
+
+        return F.transform(here, piece)
+
+    def blocks(known: Column) -> Column:
+        fresh = F.filter(F.sequence(F.lit(1), F.size(known)), lambda i: F.coalesce(F.get(known, i - 2)["role"] != known[i - 1]["role"], F.lit(True)))
+        return let(fresh, lambda begins: F.flatten(F.transform(begins, lambda _, k: block(known, begins, k))))
+
+    return let(turns, blocks)
+
+
+def starts(lengths: Column) -> Column:
+    """For each of an array's lengths the sum of all before it, summed in groups of GROUP."""
+    none = lambda: F.array().cast("array<bigint>")
+
+    def running(xs: Column) -> Column:
+        first = F.struct(none().alias("out"), F.lit(0).cast("long").alias("total"))
+        return F.aggregate(xs, first, lambda acc, x: F.struct(F.concat(acc["out"], F.array(acc["total"])).alias("out"), (acc["total"] + x).alias("total")), lambda acc: acc["out"])
+
+    def grouped(xs: Column) -> Column:
+        groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / GROUP).cast("int")), lambda g: F.slice(xs, g * GROUP + 1, F.lit(GROUP)))
+        totals = F.transform(groups, lambda g: F.aggregate(g, F.lit(0).cast("long"), lambda acc, x: acc + x))
+        return let(running(totals), lambda bases: F.flatten(F.zip_with(groups, bases, lambda g, base: F.transform(running(g), lambda x: base + x))))
+
+    return let(F.transform(lengths, lambda x: x.cast("long")), grouped)
+
+
 def read_turns(formatted: Column) -> Column:
     """array<struct<role, text>> of a formatted string, one for each turn that went in."""
 

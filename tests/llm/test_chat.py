@@ -35,3 +35,22 @@ def test_odd_rows(spark):
     assert got[1][0] == [("system", "s"), ("", "n"), ("user", ""), ("user", "u"), ("user", "u")]
     assert got[None][1] == "z" * 100_000
     assert chat.format_chats(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_starts_of_long_arrays(spark):
+    df = spark.range(1).select(chat.starts(F.transform(F.sequence(F.lit(1), F.lit(1000)), lambda x: x % 7)).alias("s"), chat.starts(F.array(F.lit(5))).alias("one"))
+    r, total, want = df.first(), 0, []
+    for x in range(1, 1001):
+        want.append(total)
+        total += x % 7
+    assert r.s == want and r.one == [0]
+
+
+def test_a_long_conversation(spark):
+    """Thousands of turns, in runs of one role of every length up to the whole."""
+    n = 6000
+    rows = [(1, i, "assistant" if (i // (1 + i // 500)) % 2 else "user", f"t{i}" * (i % 3)) for i in range(n)] + [(2, i, "assistant", f"<|{i}") for i in range(n)]
+    got = back(spark, rows)
+    assert got[1][0] == [(r, t) for c, _, r, t in rows if c == 1] and got[2][0] == [(r, t) for c, _, r, t in rows if c == 2]
+    assert got[1][1] == "".join(t for c, _, r, t in rows if c == 1 and r == "assistant")
+    assert got[2][2].count("<|turn|>") == 1 and got[2][2].count("<|next|>") == n - 1 and got[2][2].endswith("<|end|>\n")
