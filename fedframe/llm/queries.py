@@ -113,17 +113,21 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, and how near they are.
 
-    n_near: for documents whose id is divisible by 20, the documents with another
-    fingerprint within three bits, searched among all; null for the rest.
+    For documents whose id is divisible by 20, searched among all, and null for the
+    rest: n_near, the other documents within three bits; near_classes, their
+    fingerprints but for its own, joined by commas (the rows that have one are its
+    members).
     """
-    prints = simhash.materialise(simhash.compare_edits(_table(spark, sf_dir, "documents")), "prints")
+    prints = simhash.materialise(simhash.compare_edits(_table(spark, sf_dir, "documents")), "compared")
     rows, asks = prints.select(F.col("own").alias("fingerprint")), F.coalesce(F.col("id") % 20 == 0, F.lit(False))
     asked = prints.where(asks)
-    near = simhash.search(rows, asked.select(F.col("own").alias("fingerprint"))).groupBy("query").agg(F.sum("n").alias("n_near"))
-    found = asked.join(near, F.col("own") == F.col("query"), "left").select(*prints.columns, F.coalesce("n_near", F.lit(0)).alias("n_near"))
-    out = found.union(prints.where(~asks).select("*", F.lit(None).cast("long")))
     text = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
-    return out.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", text("own").alias("fingerprint"), text("edited").alias("edited_fingerprint"), "near_edited", "near_next", "n_near")
+    near = simhash.search(rows, asked.select(F.col("own").alias("fingerprint")), own=True)
+    other = F.when(F.col("fingerprint") != F.col("query"), text("fingerprint"))
+    near = near.groupBy("query").agg((F.sum("n") - 1).alias("n_near"), F.array_join(F.sort_array(F.collect_list(other)), ",").alias("near_classes"))
+    found = asked.join(near, F.col("own") == F.col("query")).select(*prints.columns, "n_near", "near_classes")
+    out = found.union(prints.where(~asks).select("*", F.lit(None).cast("long"), F.lit(None).cast("string")))
+    return out.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", text("own").alias("fingerprint"), text("edited").alias("edited_fingerprint"), "near_edited", "near_next", "n_near", "near_classes")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,8 +28,9 @@ LANES = 4
 PAIR_WEIGHT = 2
 #: Words in a block: times PAIR_WEIGHT + 1 they are below 2**15, so that no lane, nor the sign, overflows.
 BLOCK = 10_000
-#: Ranges that ids are cut into at most, so that a row of three numbers for each can be broadcast.
-MAX_BUCKETS = 65_536
+#: Keys sorted in a task, and ranges at most, so that a row of two keys for each can be broadcast.
+ROWS_PER_RANGE = 20_000
+MAX_RANGES = 65_536
 _SPREAD = 1 | 1 << 15 | 1 << 30 | 1 << 45
 _LANES = 1 | 1 << 16 | 1 << 32 | 1 << 48
 
@@ -68,59 +69,83 @@ def likeness(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(0.0), F.cos(apart * F.lit(3.141592653589793 / BITS)))
 
 
-def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_bucket: int = 200) -> DataFrame:
-    """Each row beside the text of the next by ascending id; after the last comes the first.
+def named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id (of its own type), key (MD5 of id and text; null texts are empty) and text of each row."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    own = F.coalesce(F.concat(F.lit("i"), F.col(id_col).cast("string")), F.lit("n"))
+    return docs.select(F.col(id_col).alias("id"), F.md5(F.concat(own, F.lit("|"), text)).alias("key"), text.alias("text"))
 
-    Ids are integers; null ids come first, rows of one id by text, null texts are
-    empty. Ids are cut into ranges of equal width, sorted range by range, and each
-    range is given the first row of the next one that has any. Returns bucket, rn
-    (both name a row), id, text, next (null in added rows) and added: the rows
-    lent by the next range. An empty table stays empty.
+
+def ring(names: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """Each key beside the one before and the one after, by ascending id; after the last comes the first.
+
+    names has id, key, n_chars. Null ids come first, and keys of one id are ordered by
+    key. Keys are sorted in ranges that Spark cuts by the ids and keys there are, so
+    that ids may cluster or lie far apart; the ends of each range, which meet the next
+    one's, are a row for each of at most MAX_RANGES. Returns key, after, before,
+    n_before (characters of the one before), a row for each different key.
+    """
+    order = [F.col("id").asc_nulls_first(), F.col("key")]
+    ranges = min(MAX_RANGES, max(1, names.count() // rows_per_range))
+    one = names.groupBy("id", "key").agg(F.max("n_chars").alias("n_chars"))
+    ranged = materialise(one.repartitionByRange(ranges, *order).withColumn("range", F.spark_partition_id()), "ranges")  # written, so that a rerun can't cut anew
+    ends = ranged.groupBy("range").agg(F.min(F.struct("id", "key"))["key"].alias("first"), F.max(F.struct("id", "key", "n_chars")).alias("last"))
+    by_range, every = W.orderBy("range"), W.partitionBy()
+    ends = ends.select(
+        F.col("range").alias("of"),
+        F.coalesce(F.lead("first").over(by_range), F.min(F.struct("range", "first")).over(every)["first"]).alias("first_after"),
+        F.coalesce(F.lag("last").over(by_range), F.max(F.struct("range", "last")).over(every)["last"]).alias("last_before"),
+    )
+    inside = W.partitionBy("range").orderBy(*order)
+    beside = ranged.select("range", "key", F.lead("key").over(inside).alias("after"), F.lag(F.struct("key", "n_chars")).over(inside).alias("before"))
+    out = beside.join(F.broadcast(ends), F.col("range") == F.col("of"))
+    return out.select("key", F.coalesce("after", "first_after").alias("after"), F.coalesce("before.key", "last_before.key").alias("before"), F.coalesce("before.n_chars", "last_before.n_chars").alias("n_before"))
+
+
+def with_edits(rows: DataFrame, beside: DataFrame) -> DataFrame:
+    """key, n_chars, text and edited of each different key: the last quarter of the code points gives way to the next text's first.
+
+    rows as of named(), beside as of ring(). Each text lends only as many characters
+    as the one before it takes.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    low, high, n = rows.agg(F.min("id"), F.max("id"), F.count("*")).first()
-    buckets = min(MAX_BUCKETS, max(1, n // rows_per_bucket))
-    width = 1 if low is None else max(1, -(-(high - low + 1) // buckets))
-    bucket = F.coalesce(F.floor((F.col("id") - F.lit(low or 0)) / F.lit(width)), F.lit(-1)).cast("long")
-    rows = rows.withColumn("bucket", bucket)
-    heads = rows.groupBy("bucket").agg(F.min("id").alias("head"))  # a row for each range
-    order = W.orderBy("bucket")
-    lent = heads.select(F.coalesce(F.lag("bucket").over(order), F.max("bucket").over(W.partitionBy())).alias("to"), F.col("bucket").alias("from"), "head")
-    lent = rows.join(F.broadcast(lent), (F.col("bucket") == F.col("from")) & F.col("id").eqNullSafe(F.col("head")))
-    lent = lent.groupBy("to", "id").agg(F.min("text").alias("text"))
-    both = rows.select("bucket", "id", "text", F.lit(False).alias("added")).union(lent.select("to", "id", "text", F.lit(True)))
-    inside = W.partitionBy("bucket").orderBy("added", F.col("id").asc_nulls_first(), "text")
-    return both.select("bucket", F.row_number().over(inside).alias("rn"), "id", "text", F.lead("text").over(inside).alias("next"), "added")
-
-
-def with_tail_of_next(rows: DataFrame) -> DataFrame:
-    """with_next() rows and edited: the last quarter of the code points gives way to the next text's first."""
+    texts = rows.select("key", "text").dropDuplicates(["key"])
+    lent = texts.join(beside, "key").select(F.col("before").alias("key"), F.substring(F.col("text"), F.lit(1), F.floor(F.col("n_before") / 4).cast("int")).alias("lent"))
     n = F.length("text")
-    cut = F.floor(n / 4).cast("int")
-    return rows.select("*", n.cast("long").alias("n_chars"), F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.coalesce("next", F.lit("")), F.lit(1), cut)).alias("edited"))
+    return texts.join(lent, "key").select("key", n.cast("long").alias("n_chars"), "text", F.concat(F.substring(F.col("text"), F.lit(1), n - F.floor(n / 4).cast("int")), "lent").alias("edited"))
 
 
 def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Fingerprints of every text, its edited text (with_tail_of_next) and the next text, and their likeness.
-
-    Returns one row per input row: id, n_chars, edited_sha256, own, edited, next
-    (long fingerprints), near_edited, near_next.
+    """Fingerprints of every text, its edited text and the next text, and their likeness.
+
+    The edited text has its last floor(n / 4) code points replaced by the first as
+    many of the next document by ascending id; after the last comes the first. Null
+    ids come first, documents of one id follow a hash of their text, and rows that
+    repeat id and text are one document, each of them returned. Ids are of any type
+    that can be ordered. Null texts are empty; an empty table stays empty. Returns
+    one row per input row: id, n_chars, edited_sha256, own, edited, next (long
+    fingerprints), near_edited, near_next.
     """
-    rows = with_tail_of_next(with_next(docs, id_col, text_col))
-    keys = ["bucket", "rn", "added", "id", "n_chars", "edited_sha256"]
-    sides = rows.select(*keys[:-1], F.sha2("edited", 256).alias("edited_sha256"), F.explode(F.array(F.struct(F.lit(0).alias("side"), "text"), F.struct(F.lit(1).alias("side"), F.col("edited").alias("text")))).alias("s"))
-    sides = sides.select(*keys, "s.side", "s.text")
-    prints = fingerprints(sides, [*keys, "side"])
-    both = prints.groupBy(*keys).agg(F.max(F.when(F.col("side") == 0, F.col("fingerprint"))).alias("own"), F.max(F.when(F.col("side") == 1, F.col("fingerprint"))).alias("edited"))
-    both = both.withColumn("next", F.lead("own").over(W.partitionBy("bucket").orderBy("rn"))).where("not added")
-    return both.select("id", "n_chars", "edited_sha256", "own", "edited", "next", likeness(F.col("own"), F.col("edited")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"))
-
-
-def search(prints: DataFrame, queries: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
+    rows = named(docs, id_col, text_col)
+    names = materialise(rows.select("id", "key", F.length("text").cast("long").alias("n_chars")), "names")
+    beside = materialise(ring(names), "ring")
+    keys = ["key", "n_chars", "edited_sha256"]
+    sides = with_edits(rows, beside).select("key", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.explode(F.array(F.struct(F.lit(0).alias("side"), "text"), F.struct(F.lit(1).alias("side"), F.col("edited").alias("text")))).alias("s"))
+    prints = fingerprints(sides.select(*keys, "s.side", "s.text"), [*keys, "side"])
+    prints = prints.groupBy(*keys).agg(F.max(F.when(F.col("side") == 0, F.col("fingerprint"))).alias("own"), F.max(F.when(F.col("side") == 1, F.col("fingerprint"))).alias("edited"))
+    prints = materialise(prints, "prints")
+    after = prints.select(F.col("key").alias("after"), F.col("own").alias("next"))
+    found = prints.join(beside.select("key", "after"), "key").join(after, "after")
+    out = names.select("id", "key").join(found, "key")
+    return out.select("id", "n_chars", "edited_sha256", "own", "edited", "next", likeness(F.col("own"), F.col("edited")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"))
+
+
+def search(prints: DataFrame, queries: DataFrame, radius: int = 3, blocks: int = 6, own: bool = False) -> DataFrame:
     """All fingerprints within radius bits of each query's.
 
     prints and queries have a long column fingerprint; equal ones are one class.
-    Returns query, fingerprint (another class's), distance, n (rows of the class).
+    Returns query, fingerprint (another class's, or also the query's own), distance,
+    n (rows of the class). A query has at most as many classes as there are numbers
+    within the radius, 43,745 for three bits.
     Fingerprints within the radius differ in at most radius blocks, so they agree
     on some choice of blocks - radius of them; a pair is reported by the first
     choice that it agrees on. Nulls are ignored.
@@ -136,5 +161,7 @@ def search(prints: DataFrame, queries: DataFrame, radius: int = 3, blocks: int =
     there = asked.select("query", tables(F.col("query")).alias("p")).select("query", F.col("p.t").alias("t"), F.col("p.key").alias("key"))
     apart = F.col("fingerprint").bitwiseXOR(F.col("query"))
     first = F.coalesce(*[F.when(apart.bitwiseAND(signed(sum(masks[i] for i in choice))) == 0, F.lit(t)) for t, choice in enumerate(choices)])
-    pairs = here.join(there, ["t", "key"]).where((F.col("fingerprint") != F.col("query")) & (F.bit_count(apart) <= radius) & (first == F.col("t")))
+    # By merging: rows of `there` are many times its fingerprints, whose size alone would decide on a broadcast.
+    pairs = here.join(there.hint("merge"), ["t", "key"]).where((F.bit_count(apart) <= radius) & (first == F.col("t")))
+    pairs = pairs if own else pairs.where("fingerprint <> query")
     return pairs.select("query", "fingerprint", F.bit_count(apart).alias("distance"), "n")
