@@ -29,6 +29,8 @@ MARK = "▁"
 #: Labelled documents a language that are fitted on.
 MAX_DOCS_PER_LANGUAGE = 400
 ROUNDS = 2
+#: Parts of a language's rows that they are chosen from separately first.
+PARTS = 1024
 #: The chosen documents' ids are broadcast if there are at most so many.
 MAX_BROADCAST_ROWS = 50_000
 #: Longer words are fitted as several, so that a probability doesn't vanish.
@@ -213,8 +215,11 @@ def train(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_co
     """
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     ids = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("h"))
-    turn = F.row_number().over(W.partitionBy("lang").orderBy("h", "id"))
-    chosen = ids.withColumn("turn", turn).where(F.col("turn") <= max_docs).select(F.col("id").alias("chosen"), F.col("lang").alias("of")).distinct()
+    ids = ids.withColumn("part", F.pmod("h", F.lit(PARTS)))
+    for within in (["lang", "part"], ["lang"]):  # first among a part of a language's rows each, then among those
+        turn = F.row_number().over(W.partitionBy(*within).orderBy("h", "id"))
+        ids = ids.withColumn("turn", turn).where(F.col("turn") <= max_docs)
+    chosen = ids.select(F.col("id").alias("chosen"), F.col("lang").alias("of")).distinct()
     chosen = materialise(chosen, "chosen")
     if chosen.count() <= MAX_BROADCAST_ROWS:  # else texts are shuffled
         chosen = F.broadcast(chosen)

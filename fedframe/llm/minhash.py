@@ -173,15 +173,17 @@ def linked(rows: np.ndarray, roots: list[int], items: pa.ListArray, side: np.nda
 
 
 def across(members: DataFrame, sets: DataFrame, percent: int, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """Links (a, b) between members (leader, node, root) of one star with different roots.
+    """Links (a, b) between members (leader, node, root, n: set size) of one star with different roots.
 
     A star is cut into blocks of about block_items items, and each pair of blocks
-    is compared in a task of its own, which holds those two alone.
+    is compared in a task of its own, which holds those two alone. Stars of one
+    root are left out. Leaders' totals are summed before they are shuffled, and a
+    large star is only a skewed key of one join.
     """
-    sized = members.join(sets.select("node", F.size("items").alias("n")), "node")
-    blocks = sized.groupBy("leader").agg(F.ceil(F.sum("n") / block_items).cast("int").alias("blocks"))
+    totals = members.groupBy("leader").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.sum("n") / block_items).cast("int").alias("blocks"))
+    open_stars = totals.where("low < high").select("leader", "blocks")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    placed = members.join(blocks, "leader").select("leader", "node", "root", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    placed = members.join(open_stars, "leader").select("leader", "node", "root", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     placed = placed.select("leader", "node", "root", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
@@ -229,12 +231,11 @@ def labelled(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
     links = materialise(links, "confirmed")
 
     roots = components(links)
-    members = stars.union(stars.select("leader", "leader").distinct())
-    members = members.join(roots, "node", "left").select("leader", "node", F.coalesce("root", "node").alias("root"))
-    open_stars = members.groupBy("leader").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("leader")
-    more = across(members.join(open_stars, "leader"), sets, percent)
+    members = stars.union(stars.select("leader", "leader").distinct()).join(sets.select("node", F.size("items").alias("n")), "node")
+    members = materialise(members.join(roots, "node", "left").select("leader", "node", F.coalesce("root", "node").alias("root"), "n"), "members")
+    more = across(members, sets, percent)
     roots = components(links.union(more))
-    discard(posted, sets, stars, links)
+    discard(posted, sets, stars, links, members)
 
     labels = classes.select("node", "id").join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     least = labels.groupBy("root").agg(F.min("id").alias("component"))

@@ -1,13 +1,16 @@
 """Mixing sources to target weights (DataFrame functions only).
 
 Each row gets a hash-random key. Keys are range-partitioned within their source
-into buckets of a bounded number of rows; bucket totals give each bucket the sum
-of all before it, a window inside the bucket gives the rest of the prefix sum,
+into buckets of a bounded number of rows; totals of buckets, and of groups of
+buckets, give each bucket the sum of all before it, a window inside the bucket
+gives the rest of the prefix sum,
 and the mix takes whole epochs of a source and then rows in key order up to the
 source's exact budget, cutting the row at the edge.
 
 No step gathers a source: a source with a third of all rows is spread over
-buckets by its keys. Only one row per source meets in one task.
+buckets by its keys. What meets in one task is a bucket's rows, a group's bucket
+totals, a source's group totals (one for each GROUP * rows_per_bucket rows), and
+one row for each source.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ from .common import count_words, materialise
 
 #: Bits of the key's head from which the bucket is taken.
 HEAD_BITS = 32
+#: Buckets whose totals are summed together.
+GROUP = 4096
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: int = 3) -> DataFrame:
@@ -82,8 +87,13 @@ def mix(
     rows = rows.withColumn("bucket", F.floor(head * buckets / F.lit(2**HEAD_BITS)).cast("int"))
 
     totals = rows.groupBy("source", "bucket").agg(F.sum("size").alias("total"))
-    before = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    starts = totals.select("source", "bucket", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("start"))
+    totals = totals.withColumn("group", F.floor(F.col("bucket") / GROUP).cast("int"))
+    groups = totals.groupBy("source", "group").agg(F.sum("total").alias("total"))
+    before = lambda *within: W.partitionBy(*within[:-1]).orderBy(within[-1]).rowsBetween(W.unboundedPreceding, -1)
+    summed = lambda *within: F.coalesce(F.sum("total").over(before(*within)), F.lit(0))
+    bases = groups.select(F.col("source").alias("g_source"), F.col("group").alias("g"), summed("source", "group").alias("base"))
+    starts = totals.select("source", "group", "bucket", summed("source", "group", "bucket").alias("start"))
+    starts = starts.join(bases, F.col("source").eqNullSafe(F.col("g_source")) & (F.col("group") == F.col("g"))).select("source", "bucket", (F.col("start") + F.col("base")).alias("start"))
     targets = source_targets(totals.groupBy("source").agg(F.sum("total").alias("source_size")), weights, epochs)
     plan = starts.alias("s").join(targets.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source")))
     plan = plan.select(F.col("s.source").alias("p_source"), F.col("bucket").alias("p_bucket"), "start", "source_size", "target")

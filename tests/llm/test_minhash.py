@@ -73,7 +73,7 @@ def test_blocks_lose_no_link(spark):
     """Stars cut into many blocks find what one block finds."""
     r = random.Random(3)
     sets = [sorted({r.randrange(60) for _ in range(30)}) for _ in range(80)]
-    members = spark.createDataFrame([(1, i, i) for i in range(80)], "leader long, node long, root long")
+    members = spark.createDataFrame([(1, i, i, len(x)) for i, x in enumerate(sets)], "leader long, node long, root long, n int")
     held = spark.createDataFrame(list(enumerate(sets)), "node long, items array<long>")
     links = M.across(members, held, 40, block_items=200).collect()
     root = list(range(80))

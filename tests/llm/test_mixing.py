@@ -69,6 +69,12 @@ def test_buckets_do_not_matter(docs):
     assert a == b
 
 
+def test_groups_of_buckets_do_not_matter(docs, monkeypatch):
+    a = sorted(map(tuple, mixing.mix(docs).collect()))
+    monkeypatch.setattr(mixing, "GROUP", 3)
+    assert a == sorted(map(tuple, mixing.mix(docs, rows_per_bucket=7).collect()))
+
+
 def test_bounds_hold(spark):
     rows = [(i, "w " * (i % 5 + 1), s) for i, s in enumerate(["a"] * 3 + ["b"] * 500 + ["c"] * 40 + [None] * 10)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
