@@ -1,8 +1,9 @@
 """ai_query: a model call for each row.
 
-Prompts are ordinary Spark columns. Each partition calls its endpoint from a
-bounded pool of threads; a failed call becomes the cell's text and never fails
-the query. The endpoints' formats are their publicly documented ones.
+Prompts are ordinary Spark columns. Each task calls its endpoint from a pool of
+threads, which shares the endpoint's concurrency with all tasks that can run at
+once; a failed call becomes the cell's text and never fails the query. The
+endpoints' formats are their publicly documented ones.
 """
 
 from __future__ import annotations
@@ -74,9 +75,14 @@ def apply(df: DataFrame, calls: list[tuple[str, AiConfig, str | None]], transpor
     """Replace prompt columns by answers, in place.
 
     calls: column, endpoint and model (null: the endpoint's). A null prompt stays
-    null without a call; an error is the cell `[AI Error: ...]`.
+    null without a call; an error is the cell `[AI Error: ...]`. Where more tasks can
+    run at once than the least concurrency allows calls, rows are taken together in
+    as many partitions as that, in their order.
     """
     send = transport or http
+    slots, least = df.sparkSession.sparkContext.defaultParallelism, max(1, min(c.concurrency for _, c, _ in calls))
+    if slots > least:
+        df, slots = df.coalesce(least), least
     schema = T.StructType([T.StructField(f.name, T.StringType() if f.name in {c for c, _, _ in calls} else f.dataType) for f in df.schema.fields])
     names = df.columns
 
@@ -93,7 +99,7 @@ def apply(df: DataFrame, calls: list[tuple[str, AiConfig, str | None]], transpor
             columns = list(batch.columns)
             for name, config, model in calls:
                 at = names.index(name)
-                with ThreadPoolExecutor(max(1, config.concurrency)) as pool:
+                with ThreadPoolExecutor(max(1, config.concurrency // slots)) as pool:
                     answers = list(pool.map(lambda p, c=config, m=model: cell(c, m or c.model, p), columns[at].to_pylist()))
                 columns[at] = pa.array(answers, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)

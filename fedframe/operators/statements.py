@@ -7,6 +7,7 @@ rewrites the table once, in parallel; keys and not-null are checked before.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 from typing import TYPE_CHECKING
 
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..errors import ConstraintError, FedError, Unsupported
-from ..functions import JDBC_TYPES, SPARK_TYPES, SQLITE_TYPES
+from ..functions import SPARK_TYPES, column_type
 from ..lang import nodes as n
 from ..plans.lower import NativeLower, quote
 from ..sources.base import Column, Connection
@@ -31,7 +32,7 @@ def _native(engine: Engine, conn: Connection, params: Params) -> NativeLower:
             raise Unsupported(f"a change in {conn.name} can read only tables of {conn.name}")
         return conn.qualified(t.name, t.schema)  # type: ignore[attr-defined]
 
-    return NativeLower(relation, conn.identifier, conn.literal, params)
+    return NativeLower(conn.kind, relation, conn.identifier, conn.literal, params)
 
 
 def _known(conn: Connection, t: n.Table) -> list[Column]:
@@ -57,8 +58,9 @@ def _check(conn: Connection, t: n.Table, columns: list[Column], new: DataFrame,
                 raise ConstraintError(f"{t.name}.{c.name} can't be null")
     keys = [quote(c.name) for c in columns if c.primary_key]
     if keys:
-        every = new.select(*keys) if old is None else old.select(*keys).unionByName(new.select(*keys))
-        if not every.groupBy(*keys).count().where("count > 1").isEmpty():
+        added = new.select(*keys)
+        twice = not added.groupBy(*keys).count().where("count > 1").isEmpty()
+        if twice or (old is not None and not old.select(*keys).join(added, [c.name for c in columns if c.primary_key], "left_semi").isEmpty()):
             raise ConstraintError(f"{t.name} has the key {', '.join(keys)} already")
 
 
@@ -90,14 +92,11 @@ def insert(engine: Engine, s: n.Insert, params: Params, ctes: n.With | None = No
     t, conn = s.target, engine.connection(s.target.connection)
     columns = _known(conn, t)
     if conn.native and s.rows:
-        changed = 0
-        native = _native(engine, conn, params)
-        for r in s.rows:
-            df = engine.run_sql("SELECT " + ", ".join(f"{engine.lower().expr(v)} AS {quote(k)}" for k, v in r.items), params)
-            values = [conn.literal(v if v is None or isinstance(v, bool | int | float | str) else str(v)) for v in df.first()]
-            names = ", ".join(native.quote(k) for k, _ in r.items)
-            changed += conn.execute(f"INSERT INTO {conn.qualified(t.name, t.schema)} ({names}) VALUES ({', '.join(values)})")  # type: ignore[attr-defined]
-        return changed
+        native, texts = _native(engine, conn, params), []
+        for r, values in zip(s.rows, _values(engine, s.rows, params), strict=True):
+            names, held = ", ".join(native.quote(k) for k, _ in r.items), ", ".join(map(conn.literal, values))
+            texts.append(f"INSERT INTO {conn.qualified(t.name, t.schema)} ({names}) VALUES ({held})")  # type: ignore[attr-defined]
+        return conn.transaction(texts)
     df = engine.query_frame(replace(ctes, body=s.query) if ctes and s.query else s.query, params) if s.query is not None else _by_row_defaults(engine, s.rows, columns, params)
     if s.query is not None and len(df.columns) == len(columns) and not set(map(str.lower, df.columns)) <= {c.name.lower() for c in columns}:
         df = df.toDF(*[c.name for c in columns])  # by position, as in SQL
@@ -107,6 +106,20 @@ def insert(engine: Engine, s: n.Insert, params: Params, ctes: n.With | None = No
     return _append(engine, conn, t, df)
 
 
+#: Values of an insert that are computed together.
+VALUES_AT_ONCE = 400
+
+
+def _values(engine: Engine, rows: tuple[n.Object, ...], params: Params) -> list[list]:
+    """The values of each row, by a few queries of one row each."""
+    flat, found = [v for r in rows for _, v in r.items], []
+    for i in range(0, len(flat), VALUES_AT_ONCE):
+        part = flat[i : i + VALUES_AT_ONCE]
+        found += engine.run_sql("SELECT " + ", ".join(f"{engine.lower().expr(v)} AS `v{k}`" for k, v in enumerate(part)), params).first()
+    plain = iter([v if v is None or isinstance(v, bool | int | float | str) else str(v) for v in found])
+    return [[next(plain) for _ in r.items] for r in rows]
+
+
 def _by_row_defaults(engine: Engine, rows: tuple[n.Object, ...], columns: list[Column], params: Params) -> DataFrame:
     """Rows where a key that one row lacks takes the column's default, not null."""
     names = {k for r in rows for k, _ in r.items}
@@ -258,7 +271,7 @@ def _alter_sql(engine: Engine, conn: Connection, s: n.AlterTable) -> list[str]:
         return [conn.rename_column_sql(s.target.name, s.target.schema, str(s.name), str(s.new_name))]  # type: ignore[attr-defined]
     if conn.kind == "sqlite":
         raise Unsupported("sqlite columns can't be altered")
-    kind = (SQLITE_TYPES if conn.kind == "sqlite" else JDBC_TYPES).get(s.changes.get("type", ""), "")
+    kind = column_type(conn.kind, s.changes["type"]) if "type" in s.changes else ""
     default = s.changes.get("default")
     value = _native(engine, conn, {}).expr(default) if default is not None else ""
     column = f"ALTER TABLE {table} ALTER COLUMN {name}"
@@ -323,17 +336,30 @@ def persist(engine: Engine, s: n.Persist, params: Params, ctes: n.With | None =
     if s.conflict == "ignore":
         fresh = engine.stage(df.join(old, same(df, old), "left_anti"))
         return 0 if fresh.isEmpty() else _append(engine, conn, t, fresh)
-    found = df.count()
-    kept = old.join(df, same(old, df), "left_anti").unionByName(df)
     if conn.native:
-        kept = engine.stage(kept)
-        conn.execute(f"DELETE FROM {conn.qualified(t.name, t.schema)}")  # type: ignore[attr-defined]
-        conn.append(t.name, kept, t.schema)
-    else:
-        conn.overwrite(t.name, kept, t.schema)
+        return _replace_in_database(engine, conn, t, df, keys)
+    found = df.count()
+    conn.overwrite(t.name, old.join(df, same(old, df), "left_anti").unionByName(df), t.schema)
     return found
 
 
+def _replace_in_database(engine: Engine, conn: Connection, t: n.Table, df: DataFrame, keys: list[str]) -> int:
+    """Write the rows beside the table, then in one transaction delete those of their keys and insert them."""
+    beside = f"new_{uuid.uuid4().hex[:12]}"
+    conn.create(beside, [Column(f.name, _dialect_type(f.dataType.typeName())) for f in df.schema.fields], t.schema)
+    try:
+        conn.append(beside, df, t.schema)
+        table, new = conn.qualified(t.name, t.schema), conn.qualified(beside, t.schema)  # type: ignore[attr-defined]
+        sides = [(f"{table}.{conn.identifier(k)}", f"n.{conn.identifier(k)}") for k in keys]
+        same = " AND ".join(f"({a} = {b} OR ({a} IS NULL AND {b} IS NULL))" for a, b in sides)
+        names = ", ".join(map(conn.identifier, df.columns))
+        gone = f"DELETE FROM {table} WHERE EXISTS (SELECT 1 FROM {new} n WHERE {same})"
+        conn.transaction([gone, f"INSERT INTO {table} ({names}) SELECT {names} FROM {new}"])
+        return conn.frame(beside, t.schema).count()
+    finally:
+        conn.drop(beside, t.schema)
+
+
 def _dialect_type(name: str) -> str:
     """The dialect's type for a Spark type's name."""
     if name in ("byte", "short", "integer", "long"):

@@ -7,15 +7,18 @@ in another order. Integers that Spark has as int are cast, so that types agree.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .engine import Engine
 from .operators.ai import AiConfig
 from .operators.key_join import key_join
+from .shared import shared_dir
 from .sources import JdbcConnection, MemoryConnection, ParquetConnection, SqliteConnection
 from .streaming import events as event_streams
 
@@ -207,7 +210,11 @@ TEXTS: dict[str, tuple[str, str]] = {
     "win_last_value": ("find [o_orderkey, last_value(o_totalprice) over (partition by o_custkey order by o_orderdate, o_orderkey) as f] from orders", "SELECT o_orderkey, last_value(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS f FROM orders"),
     "win_nth_value": ("find [o_orderkey, nth_value(o_orderkey, 2) over (partition by o_custkey order by o_orderdate, o_orderkey) as f] from orders", "SELECT o_orderkey, nth_value(o_orderkey, 2) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS f FROM orders"),
     "win_running_total": ("find [o_orderkey, round(sum(o_totalprice) over (partition by o_custkey order by o_orderdate, o_orderkey), 2) as t] from orders", "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), 2) AS t FROM orders"),
-    "win_partition_avg_diff": ("find [c_custkey, round(c_acctbal - avg(c_acctbal) over (partition by c_mktsegment), 4) as d] from customer", "SELECT c_custkey, round(c_acctbal - avg(c_acctbal) OVER (PARTITION BY c_mktsegment), 4) AS d FROM customer"),
+    # In whole cents, whose sums are exact in any order: averages in doubles differ where rounding ties.
+    "win_partition_avg_diff": (
+        "find [c_custkey, round(c_acctbal * 100) - avg(round(c_acctbal * 100)) over (partition by c_mktsegment) as d] from customer",
+        "SELECT c_custkey, round(c_acctbal * 100) - avg(round(c_acctbal * 100)) OVER (PARTITION BY c_mktsegment) AS d FROM customer",
+    ),
     "win_named": (
         "find [o_orderkey, count(*) over w as n, cast(rank() over w as int) as r] from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey)",
         "SELECT o_orderkey, count(*) OVER w AS n, rank() OVER w AS r FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)",
@@ -310,8 +317,7 @@ def _from_text(text: str) -> Query:
 
 def _scratch(spark: SparkSession) -> str:
     """A new folder that driver and executors share, for tables that queries change."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fedframe-")
-    return f"{base.rstrip('/')}/fedframe/work-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/fedframe/work-{uuid.uuid4().hex}"
 
 
 def _writing(spark: SparkSession, sf_dir: str) -> Engine:
@@ -370,11 +376,13 @@ SCRIPTS: dict[str, tuple[str, str]] = {
 def _federated(spark: SparkSession, sf_dir: str) -> Engine:
     """Parquet tables beside a database (nation, region), a SQLite file (supplier) and the session (part).
 
-    The database and the file are made anew for each call, on the driver's disk: in
-    production they would be servers, here they are read where the driver runs.
+    The database is made anew for each call in the driver's memory, which stands for a
+    server; the file lies in the shared folder, if that is a mounted one.
     """
     engine = _reading(spark, sf_dir)
-    home = tempfile.mkdtemp(prefix="fedframe-")
+    shared = re.sub("^file:(//)?(?=/)", "", _scratch(spark))
+    home = tempfile.mkdtemp(prefix="fedframe-") if ":" in shared else shared
+    Path(home).mkdir(parents=True, exist_ok=True)
     db = engine.add(JdbcConnection(spark, f"db{uuid.uuid4().hex[:8]}", "derby", f"jdbc:derby:memory:fed{uuid.uuid4().hex};create=true"))
     engine.connections["db"] = db
     lite = engine.add(SqliteConnection(spark, "lite", f"{home}/supplier.db"))
@@ -437,8 +445,34 @@ def _ai_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.sql('find [r_regionkey, ai_query("m", nullif(r_name, "ASIA")) as answer, ai_query("m", "other", concat(r_name, "!")) as second, r_name] from region')
 
 
+EXPLAINED = """-- statement
+Select limit=5
+  items:
+    Item
+      expr: Name
+        parts:
+          'o_orderkey'
+  sources:
+    Table name='orders'
+  where: Binary op='>'
+    left: Name
+      parts:
+        'o_totalprice'
+    right: Literal value=100
+  order:
+    OrderKey
+      expr: Name
+        parts:
+          'o_orderkey'
+-- connections: pq
+PushedFilters: [IsNotNull(o_totalprice), GreaterThan(o_totalprice,100.0)]
+ReadSchema: struct<o_orderkey:bigint,o_totalprice:double>"""
+
+
 def _explain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _reading(spark, sf_dir).sql("explain find [o_orderkey] from orders where o_totalprice > 100").where("plan like '-- connections%'").select("plan")
+    """The statement's tree and connections, and of Spark's plan what the scan takes."""
+    lines = _reading(spark, sf_dir).sql("explain find [o_orderkey] from orders where o_totalprice > 100 order by o_orderkey limit 5")
+    return lines.where("line < 20 or plan like 'PushedFilters%' or plan like 'ReadSchema%'").select("plan")
 
 
 def queries() -> dict[str, Query]:
@@ -455,7 +489,7 @@ def oracle_sql() -> dict[str, str]:
         "ai_query_fake_transport": """SELECT r_regionkey, r_name,
             CASE WHEN r_name = 'ASIA' THEN NULL WHEN r_name LIKE 'A%' THEN '[AI Error: RuntimeError: refused]' ELSE 'echo:' || length(r_name) END AS answer,
             CASE WHEN r_name LIKE 'A%' THEN '[AI Error: RuntimeError: refused]' ELSE 'other:' || (length(r_name) + 1) END AS second FROM region""",
-        "explain": "SELECT '-- connections: pq' AS plan",
+        "explain": "SELECT * FROM (VALUES " + ", ".join("('" + x.replace("'", "''") + "')" for x in EXPLAINED.splitlines()) + ") t(plan)",
         "stream_tumbling_counts": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
         "stream_sessions": """WITH a AS (SELECT *, coalesce(ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE, true) AS fresh FROM events),
             b AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM a)

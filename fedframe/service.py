@@ -1,7 +1,8 @@
 """The engine as tools: JSON in, JSON out, one request a line on standard input.
 
 Requests are {"id", "method", "params"}; methods are tools/list and tools/call
-(params: name, arguments), and the tools' names themselves.
+(params: name, arguments), the tools' names themselves, and resources/list and
+resources/read (params: uri), which hold documentation.
 """
 
 from __future__ import annotations
@@ -10,10 +11,13 @@ import datetime as dt
 import decimal
 import json
 import sys
+import time
 from collections.abc import Iterable, Iterator
 
 from .engine import Engine
 from .errors import FedError
+from .functions import SPARK_TYPES
+from .lang.parser import AGGREGATES, CLAUSES
 
 #: Rows of an answer; the rest is told by `truncated`.
 MOST_ROWS = 1000
@@ -34,6 +38,19 @@ update t set column = expr [where expr] | remove t [where expr] | alter table ..
 create|drop database d | show tables | describe t | explain ... | :name = expr"""
 
 
+KEYWORDS = {*CLAUSES, *AGGREGATES, *"find distinct case cast exists any all some true false null with recursive create table database update remove alter add drop rename column default primary key if show tables describe explain ai_query".split()}
+#: What can be read: address to its name and text.
+RESOURCES = {
+    "fedframe://docs": ("The dialect", lambda: f"{HELP}\n\n{_functions()}\n\nTypes: {', '.join(SPARK_TYPES)}."),
+    "fedframe://docs/quickref": ("The dialect in short", lambda: HELP),
+    "fedframe://docs/keywords": ("Reserved words", lambda: "\n".join(sorted(KEYWORDS))),
+}
+
+
+def _functions() -> str:
+    return "Functions: those of Spark SQL; now() and current_timestamp are its current time, concat skips nulls, count() is count(*)."
+
+
 def _cell(value: object) -> object:
     if isinstance(value, dt.date | dt.datetime | dt.timedelta | decimal.Decimal):
         return str(value)
@@ -61,7 +78,7 @@ class Service:
             return {"error": str(e).split("\n\nJVM stacktrace")[0]}
 
     def _query(self, query: str, connection: str | None = None, params: dict | None = None) -> dict:
-        engine = self.engine
+        engine, began = self.engine, time.perf_counter()
         if connection:
             chosen = engine.connection(connection)
             first = {chosen.name: chosen}
@@ -73,8 +90,10 @@ class Service:
         else:
             result = engine.execute(query, **(params or {}))
         rows = result.frame.limit(MOST_ROWS + 1).collect()
-        out = {"columns": result.frame.columns, "rows": [[_cell(v) for v in r] for r in rows[:MOST_ROWS]], "elapsed_ms": round(result.elapsed * 1000), "rows_affected": result.rows_affected, "total_rows": min(len(rows), MOST_ROWS)}
-        return out | ({"truncated": True} if len(rows) > MOST_ROWS else {})
+        cut = len(rows) > MOST_ROWS
+        total = result.frame.count() if cut else len(rows)
+        out = {"columns": result.frame.columns, "rows": [[_cell(v) for v in r] for r in rows[:MOST_ROWS]], "elapsed_ms": round((time.perf_counter() - began) * 1000), "rows_affected": result.rows_affected, "total_rows": total}
+        return out | ({"truncated": True} if cut else {})
 
     def _describe(self, table: str, connection: str | None = None) -> dict:
         schema, _, name = table.rpartition(".")
@@ -102,6 +121,11 @@ class Service:
                 method, params = asked.get("method"), asked.get("params") or {}
                 if method == "tools/list":
                     result = {"tools": [{"name": k, **v} for k, v in TOOLS.items()]}
+                elif method == "resources/list":
+                    result = {"resources": [{"uri": k, "name": name, "mimeType": "text/markdown"} for k, (name, _) in RESOURCES.items()]}
+                elif method == "resources/read":
+                    uri = params.get("uri")
+                    result = {"contents": [{"uri": uri, "mimeType": "text/markdown", "text": RESOURCES[uri][1]()}] if uri in RESOURCES else []}
                 elif method == "tools/call":
                     result = self.call(params.get("name"), params.get("arguments"))
                 else:
@@ -129,9 +153,10 @@ def main(argv: list[str] | None = None) -> None:
         except EOFError:
             return
         try:
+            began = time.perf_counter()
             result = engine.execute(text)
             result.frame.show(50, truncate=False)
-            print(f"{result.elapsed:.2f} s, connections: {', '.join(result.connections) or 'none'}")
+            print(f"{time.perf_counter() - began:.2f} s, connections: {', '.join(result.connections) or 'none'}")
         except Exception as e:  # noqa: BLE001  the next statement may be right
             print(str(e).split("\n\nJVM stacktrace")[0])
 

@@ -77,6 +77,10 @@ class Connection(ABC):
         """Run the connection's own SQL; returns how many rows it changed."""
         raise Unsupported(f"{self.kind} connections have no SQL of their own")
 
+    def transaction(self, texts: list[str]) -> int:
+        """Run statements of the connection's own SQL, all or none; returns how many rows they changed."""
+        raise Unsupported(f"{self.kind} connections have no SQL of their own")
+
     def identifier(self, name: str) -> str:
         """A name in the connection's own SQL."""
         return '"' + name.replace('"', '""') + '"'

@@ -14,11 +14,11 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-from ..errors import ConfigError, FedError
+from ..errors import ConfigError
 from ..operators.ai import AiConfig
 from .base import Connection
 from .files import DocumentConnection, ParquetConnection
-from .jdbc import DRIVERS, JdbcConnection
+from .jdbc import DRIVERS, JdbcConnection, jdbc_url
 from .memory import MemoryConnection
 from .sqlite import SqliteConnection
 
@@ -64,11 +64,13 @@ def connect(spark: SparkSession, entry: dict) -> Connection:
     if kind == "parquet":
         return ParquetConnection(spark, name, where, schema)
     if kind == "document":
+        if where.startswith("mongodb"):
+            raise ConfigError(f"{name}: document collections are read from a folder of JSON files, not from a server")
         return DocumentConnection(spark, name, where, schema)
     if kind == "sqlite":
-        return SqliteConnection(spark, name, where.removeprefix("sqlite://"))
+        return SqliteConnection(spark, name, where.removeprefix("sqlite:").removeprefix("//").partition("?")[0])
     if kind in DRIVERS:
-        return JdbcConnection(spark, name, kind, where if where.startswith("jdbc:") else f"jdbc:{where}", schema, entry.get("options"))
+        return JdbcConnection(spark, name, kind, jdbc_url(kind, where), schema, entry.get("options"))
     raise ConfigError(f"{name}: unknown kind {kind!r}")
 
 
@@ -81,6 +83,6 @@ def open_all(spark: SparkSession, entries: list[dict]) -> tuple[list[Connection]
                 models[entry["name"]] = AiConfig.from_entry(entry)
             else:
                 opened.append(connect(spark, entry))
-        except (FedError, KeyError, TypeError) as e:
-            errors[entry["name"]] = str(e)
+        except Exception as e:  # noqa: BLE001  the other entries must open
+            errors[entry["name"]] = str(e).splitlines()[0] if str(e) else type(e).__name__
     return opened, models, errors

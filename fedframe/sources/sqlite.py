@@ -15,12 +15,13 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual
 
 from ..errors import ConnectionFailed, FedError
-from ..functions import SQLITE_TYPES
+from ..functions import column_type
 from ..plans.lower import quote
 from ..shipping import ship
 from .base import Column, Connection
 
-ROWS_PER_TASK = 500_000
+#: Row ids in a task's range, unless that would make more than MAX_TASKS ranges: ids may be sparse.
+ROWS_PER_TASK, MAX_TASKS = 500_000, 1_000
 ROWS_PER_BATCH = 10_000
 _COMPARE = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
 
@@ -56,7 +57,7 @@ class _Reader(DataSourceReader):
             name = _ident(f.attribute[0]) if hasattr(f, "attribute") and len(f.attribute) == 1 else None
             op = _COMPARE.get(type(f))
             if name and op and isinstance(f.value, int | float | str) and not isinstance(f.value, bool):
-                self.tests.append((f"{name} {op} ?", f.value))
+                self.tests.append((f"{name} {op} ?" + " COLLATE BINARY" * isinstance(f.value, str), f.value))  # as Spark compares
             elif name and isinstance(f, IsNull | IsNotNull):
                 self.tests.append((f"{name} IS {'' if isinstance(f, IsNull) else 'NOT '}NULL", None))
             else:
@@ -70,13 +71,14 @@ class _Reader(DataSourceReader):
                 return [_Range(None, None)]
         if low is None:
             return [_Range(None, None)]
-        return [_Range(x, min(high, x + ROWS_PER_TASK - 1)) for x in range(low, high + 1, ROWS_PER_TASK)]
+        step = max(ROWS_PER_TASK, -(-(high - low + 1) // MAX_TASKS))
+        return [_Range(x, min(high, x + step - 1)) for x in range(low, high + 1, step)]
 
     def read(self, part: _Range) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(self.schema)
-        tests, values = [t for t, _ in self.tests], [v for t, v in self.tests if t.endswith("?")]
+        tests, values = [t for t, _ in self.tests], [v for t, v in self.tests if " ?" in t]
         if part.low is not None:
             tests, values = [*tests, "rowid BETWEEN ? AND ?"], [*values, part.low, part.high]
         text = f"SELECT {', '.join(map(_ident, self.schema.names))} FROM {_ident(self.table)}" + (f" WHERE {' AND '.join(tests)}" if tests else "")
@@ -145,10 +147,13 @@ class SqliteConnection(Connection):
             db.close()
 
     def execute(self, sql: str) -> int:
+        return self.transaction([sql])
+
+    def transaction(self, texts: list[str]) -> int:
         db = sqlite3.connect(self.path)
         try:
             with db:
-                return max(0, db.execute(sql).rowcount)
+                return sum(max(0, db.execute(sql).rowcount) for sql in texts)
         except sqlite3.Error as e:
             raise FedError(f"{self.name}: {e}") from e
         finally:
@@ -169,7 +174,7 @@ class SqliteConnection(Connection):
         return [Column(r[1], r[2].lower(), not r[3] and not r[5], bool(r[5]), r[4]) for r in self._query(f"PRAGMA table_info({_ident(table)})")]
 
     def column_sql(self, c: Column) -> str:
-        made = f"{self.identifier(c.name)} {SQLITE_TYPES[c.type]}"
+        made = f"{self.identifier(c.name)} {column_type("sqlite", c.type)}"
         made += f" DEFAULT {c.default}" if c.default is not None else ""
         return made + (" NOT NULL" if not c.nullable or c.primary_key else "") + (" PRIMARY KEY" if c.primary_key else "")
 
