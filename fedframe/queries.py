@@ -432,6 +432,15 @@ def _fed_key_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return key_join(small, engine.table("NATION@db"), "s_nationkey", "N_NATIONKEY").selectExpr("s_suppkey", "N_NAME AS n_name")
 
 
+def _fed_key_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dialect's join of a filtered Parquet table to a database's: over a thousand keys, in several lists."""
+    engine = _reading(spark, sf_dir)
+    engine.add(JdbcConnection(spark, f"kb{uuid.uuid4().hex[:8]}", "derby", f"jdbc:derby:memory:kb{uuid.uuid4().hex};create=true"))
+    engine.connections["db"] = list(engine.connections.values())[-1]
+    engine.sql("find [o_orderkey as O_ORDERKEY, o_orderpriority as O_PRIORITY] from orders@pq >> ORDERS@db")
+    return engine.sql("find [l.l_orderkey, l.l_linenumber, o.O_PRIORITY as priority] from lineitem@pq l join ORDERS@db o on l.l_orderkey = o.O_ORDERKEY where l.l_quantity > 48")
+
+
 def _echo(url: str, headers: dict, body: dict, timeout: float) -> dict:
     """Stands for a model endpoint: the prompt's length, or a failure for every region of A."""
     prompt = body["messages"][0]["content"]
@@ -479,13 +488,14 @@ def queries() -> dict[str, Query]:
     made = {name: _from_text(text) for name, (text, _) in TEXTS.items()}
     made |= {name: _script(text) for name, (text, _) in SCRIPTS.items()}
     made |= {name: _fed(text) for name, (text, _) in FEDERATED.items()}
-    return made | {"fed_key_join": _fed_key_join, "ai_query_fake_transport": _ai_query, "explain": _explain, "stream_tumbling_counts": event_streams.tumbling_counts, "stream_sessions": event_streams.sessions}
+    return made | {"fed_key_join": _fed_key_join, "fed_key_batches": _fed_key_batches, "ai_query_fake_transport": _ai_query, "explain": _explain, "stream_tumbling_counts": event_streams.tumbling_counts, "stream_sessions": event_streams.sessions}
 
 
 def oracle_sql() -> dict[str, str]:
     made = {name: sql for group in (TEXTS, SCRIPTS, FEDERATED) for name, (_, sql) in group.items()}
     return made | {
         "fed_key_join": "SELECT s.s_suppkey, n.n_name FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey WHERE s.s_acctbal > 9500",
+        "fed_key_batches": "SELECT l.l_orderkey, l.l_linenumber, o.o_orderpriority AS priority FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey WHERE l.l_quantity > 48",
         "ai_query_fake_transport": """SELECT r_regionkey, r_name,
             CASE WHEN r_name = 'ASIA' THEN NULL WHEN r_name LIKE 'A%' THEN '[AI Error: RuntimeError: refused]' ELSE 'echo:' || length(r_name) END AS answer,
             CASE WHEN r_name LIKE 'A%' THEN '[AI Error: RuntimeError: refused]' ELSE 'other:' || (length(r_name) + 1) END AS second FROM region""",

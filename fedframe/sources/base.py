@@ -30,6 +30,8 @@ class Connection(ABC):
 
     kind = ""
     native = False
+    #: Joins may hand it the keys of small tables.
+    takes_keys = False
     alterable = True
 
     def __init__(self, spark: SparkSession, name: str, schema: str | None = None):

@@ -205,3 +205,38 @@ def test_calls_share_the_concurrency(spark):
     out = ai.apply(df, [("p", ai.AiConfig("m", "openai", "http://x", concurrency=3), "m")], lambda *a: {"choices": [{"message": {"content": "ok"}}]})
     assert out.rdd.getNumPartitions() == 3 and out.where("p = 'ok'").count() == 64
     assert statements.VALUES_AT_ONCE >= 1
+
+
+def test_keys_go_to_the_database(spark, engine):
+    engine.sql("find [o_orderkey as O_ORDERKEY, o_orderpriority as P] from orders@pq >> ORDERS@dby")
+    text = "find [l.l_orderkey, o.P] from lineitem@pq l {} join ORDERS@dby o on l.l_orderkey = o.O_ORDERKEY where {}"
+    plan = lambda df: df._jdf.queryExecution().toString()
+    few = engine.sql(text.format("", "l.l_orderkey in (3, 5)"))
+    assert "O_ORDERKEY IN (3" in plan(few).replace("in (", "IN (")
+    many = engine.sql(text.format("left", "l.l_orderkey < 1500"))  # more than a list holds
+    assert plan(many).count("O_ORDERKEY IN (") >= 2 and " OR " in plan(many)
+    plain = Engine(spark, engine.connections.values(), key_joins=False)
+    for join, where in (("", "l.l_orderkey in (3, 5)"), ("left", "l.l_orderkey < 1500"), ("left", "l.l_quantity > 1000"), ("right", "l.l_quantity > 49"), ("full", "1 = 1")):
+        assert rows(engine.sql(text.format(join, where))) == rows(plain.sql(text.format(join, where)))
+    none = engine.sql(text.format("", "l.l_quantity > 1000"))
+    assert none.count() == 0
+    cte = "with ORDERS as (find [r_regionkey as O_ORDERKEY, r_name as P] from region@pq) find [l.l_orderkey, o.P] from lineitem@pq l join ORDERS o on l.l_orderkey = o.O_ORDERKEY"
+    assert rows(engine.sql(cte)) == rows(plain.sql(cte))
+
+
+def test_filtered_branches_are_joined_first(spark, sf):
+    engine = Engine(spark, [ParquetConnection(spark, "pq", sf)])
+    from fedframe.plans.lower import filtered_branches
+    from fedframe.queries import TEXTS
+
+    five = TEXTS["join_multi5"][0]
+    assert filtered_branches(parse(five)[0]) == {4: 3, 3: 2}
+    for text in (five.replace('r.r_name = "ASIA" and', ""), five.replace("join region", "left join region"), five.replace("[n.n_name, round", "[*, round")):
+        assert filtered_branches(parse(text)[0]) == {}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = engine.sql(five)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    depth = {t: len(line) - len(line.lstrip(" :+-|")) for line in plan.splitlines() for t in ("c_custkey", "r_regionkey") if "Relation" in line and t in line}
+    assert depth["r_regionkey"] > 0
