@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import shared_dir
+
 #: The characters that separate words everywhere in this subpackage.
 WHITESPACE = " \t\n\x0b\x0c\r"
 #: Java and RE2 pattern of a run of them.
@@ -17,18 +18,6 @@ SPACE_RUN = "[\\x20\\x09-\\x0D]+"
 BATCH_BYTES = 8 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share (spark.checkpoint.dir).
-
-    Only where the setting is absent, as in local tests, a temporary folder is used.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = tempfile.mkdtemp(prefix="fedframe-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has used yet."""
     return f"{shared_dir(spark)}/fedframe/{name}-{uuid.uuid4().hex}"
