@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, small_batches, split_words
+from .common import materialise, small_batches, split_words, tidy
 
 MARK = "▁"
 #: Labelled documents a language that are fitted on.
@@ -331,7 +331,7 @@ def identify(docs: DataFrame, model: Model, vocabulary_path: str, text_col: str
                         held.forget()
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
 
-    return small_batches(docs.select(*keep, F.col(text_col).alias("__text"))).mapInArrow(run, schema)
+    return small_batches(docs.select(*keep, F.col(text_col).alias("__text"))).mapInArrow(tidy(run), schema)
 
 
 def held_out(id_col: str | Column = "doc_id") -> Column:

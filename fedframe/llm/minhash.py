@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, small_batches
+from .common import discard, materialise, small_batches, tidy
 from .graph import components
 
 SHINGLE = 5
@@ -115,7 +115,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str, width: int, coordinates:
             yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "node", "sig", "digest"][: len(columns)])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return small_batches(rows).mapInArrow(run, f"id {kind.simpleString()}, n long, node long, sig array<long>" + (", digest string" if digests else ""))
+    return small_batches(rows).mapInArrow(tidy(run), f"id {kind.simpleString()}, n long, node long, sig array<long>" + (", digest string" if digests else ""))
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -130,7 +130,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, wi
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = rows.join(wanted.hint("shuffle_hash"), rows["id"].eqNullSafe(wanted["id"])).select("node", "text")
-    return small_batches(rows).mapInArrow(run, "node long, items array<long>")
+    return small_batches(rows).mapInArrow(tidy(run), "node long, items array<long>")
 
 
 def linked(rows: np.ndarray, roots: list[int], items: pa.ListArray, side: np.ndarray, percent: int) -> list[tuple[int, int]]:

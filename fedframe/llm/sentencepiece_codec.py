@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import small_batches, tidy
 
 SPACE = "▁"
 MARK = SPACE.encode()
@@ -198,7 +198,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
                     out.append(pa.array(tool.decode([x[0].tolist() for x in found]), pa.string()))
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(part.start, n) for i in range(len(columns))), *out], names=schema.names)
 
-    return small_batches(docs.select(*columns, F.col(text_col).alias("__text"))).mapInArrow(run, schema)
+    return small_batches(docs.select(*columns, F.col(text_col).alias("__text"))).mapInArrow(tidy(run), schema)
 
 
 def decode(encoded: DataFrame, model: str, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -221,4 +221,4 @@ def decode(encoded: DataFrame, model: str, ids_col: str = "ids", keep: tuple[str
                 kept = [batch.column(i).slice(part.start, part.stop - part.start) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(tool.decode(ids), pa.string())], names=schema.names)
 
-    return small_batches(encoded.select(*columns)).mapInArrow(run, schema)
+    return small_batches(encoded.select(*columns)).mapInArrow(tidy(run), schema)

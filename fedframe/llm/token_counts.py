@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import small_batches, tidy
 
 #: Leaves in a chunk; a chunk that grows to four times this is cut again.
 CHUNK = 64
@@ -200,7 +200,7 @@ def count(docs: DataFrame, path: str, pattern: str, text_col: str = "text", keep
                 kept = [batch.column(i).slice(part.start, part.stop - part.start) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(list(map(sum, tokens)), pa.int64()), _lists(chars), _lists(tokens)], names=schema.names)
 
-    return small_batches(docs.select(*keep, F.col(text_col).alias("__text"))).mapInArrow(run, schema)
+    return small_batches(docs.select(*keep, F.col(text_col).alias("__text"))).mapInArrow(tidy(run), schema)
 
 
 def recount(counted: DataFrame, path: str, pattern: str, text_col: str = "text", edits_col: str = "edits", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -238,4 +238,4 @@ def recount(counted: DataFrame, path: str, pattern: str, text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(texts, pa.string()), pa.array([x.n_tokens for x in trees], pa.int64()), _lists([x[0] for x in leaves]), _lists([x[1] for x in leaves]), pa.array(encoded, pa.int64())], names=schema.names)
 
     ready = counted.select(*keep, F.col(text_col).alias("__text"), "leaf_chars", "leaf_tokens", F.col(edits_col).alias("__edits"))
-    return small_batches(ready).mapInArrow(run, schema)
+    return small_batches(ready).mapInArrow(tidy(run), schema)
