@@ -1,8 +1,15 @@
+import hashlib
+import re
+from collections import Counter
+
 import corpus_pipeline as p
+import sentencepiece
 from pyspark.sql import functions as F
 from test_minhash import brute
+from test_mixing import targets
+from test_secret_scan import brute as secret_spans
 
-from fedframe.llm import queries
+from fedframe.llm import langid, queries, secret_scan
 
 
 def stage(name, spark, docs, sf):
@@ -53,6 +60,49 @@ def test_run_and_odd_tables(spark, sf, odd, empty):
         docs.collect()
 
 
+def masked(text):
+    """text with every secret, overlapping ones as one, replaced."""
+    spans = [(a, b) for a, _, b in secret_spans(text)] + [m.span() for rule in secret_scan.MORE_RULES for m in re.finditer(rule.pattern, text)]
+    out, at = "", 0
+    for a, b in sorted(spans):
+        if a >= at:
+            out += text[at:a] + "[SECRET]"
+        at = max(at, b)
+    return out + text[at:]
+
+
+def mixed(rows):
+    """(id, source, text) as often as the mix takes it."""
+    size = {r[0]: len(re.findall(r"[^\x20\x09-\x0D]+", r[2])) for r in rows}
+    by_source = {}
+    for r in rows:
+        by_source.setdefault(r[1], []).append(r)
+    totals = {s: sum(size[r[0]] for r in members) for s, members in by_source.items()}
+    out, want = [], targets(totals)
+    for s, members in by_source.items():
+        budget, before = int(want[s] + 0.5), 0
+        for r in sorted(members, key=lambda r: (hashlib.md5(f"mix|{r[0]}".encode()).hexdigest(), r[0])):
+            n = size[r[0]]
+            taken = budget // max(totals[s], 1) * n + max(0, min(n, budget % max(totals[s], 1) - before))
+            before += n
+            out += [r] * (-(-taken // n) if taken else 0)
+    return out
+
+
+def test_the_whole_against_a_pipeline_in_python(spark, sf, docs):
+    """All stages by brute force; of the language stage the model's own predictions are taken."""
+    vocabulary = queries.tokenizer("piece_bpe_32k.model")
+    model = langid.train(docs.where(~langid.held_out()), vocabulary)
+    said = {r.doc_id: r for r in langid.identify(docs, model, vocabulary).collect()}
+    rows = [(r.doc_id, r.source, r.text) for r in docs.collect() if said[r.doc_id].lang_pred != "und" and said[r.doc_id].score >= p.LEAST_SCORE]
+    first = {r[0] for r in brute([(i, t) for i, _, t in rows]) if r[3]}
+    rows = mixed([(i, s, masked(t)) for i, s, t in rows if i in first])
+    plain = sentencepiece.SentencePieceProcessor(model_file=vocabulary)
+    wanted = Counter((i, s, said[i].lang_pred, tuple(plain.encode(t)), plain.decode(plain.encode(t)) == t) for i, s, t in rows)
+    got = Counter((r.doc_id, r.source, r.lang, tuple(r.ids), r.decodes) for r in p.run(spark, sf).collect())
+    assert got == wanted and all(r.n_tokens == len(r.ids) for r in p.run(spark, sf).limit(20).collect())
+
+
 def test_copies_of_an_id_do_not_outlive(spark, sf):
     from odd import words
 
