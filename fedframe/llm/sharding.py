@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -119,14 +119,24 @@ class ShardStore:
 
     def shards(self, version: int | None = None) -> DataFrame:
         """shard (path), bytes, rows, tier of a version; a row for each file."""
-        tier = F.floor(F.log(float(self.fanout), F.greatest(F.col("bytes") / F.lit(SMALLEST), F.lit(1.0))))
-        return self._shards(self.manifest(version)).withColumn("tier", tier.cast("int"))
+        return self._shards(self.manifest(version)).withColumn("tier", self._tier(0.0))
+
+    def _tier(self, shift: float) -> Column:
+        level = F.log(float(self.fanout), F.greatest(F.col("bytes") / F.lit(SMALLEST), F.lit(1.0)))
+        return F.floor(level + F.lit(shift)).cast("int")
 
     def due(self, version: int | None = None) -> DataFrame:
-        """The shards to merge: those below half the target, of tiers that have at least fanout of them."""
-        small = self.shards(version).where(F.col("bytes") < self.target / 2)
-        full = small.groupBy("tier").count().where(F.col("count") >= self.fanout).select("tier")  # at most a row for each tier
-        return small.join(F.broadcast(full), "tier")
+        """The shards to merge: those below half the target, of tiers that have at least fanout of them.
+
+        Tiers are cut twice, the second time half a tier further, so that similar
+        shards on either side of a border are found too.
+        """
+        small = self.shards(version).where(F.col("bytes") < self.target / 2).withColumn("shifted", self._tier(0.5))
+        found = []
+        for tier in ("tier", "shifted"):
+            full = small.groupBy(tier).count().where(F.col("count") >= self.fanout).select(tier)  # at most a row for each tier
+            found.append(small.join(F.broadcast(full), tier, "left_semi").select("shard", "bytes", "rows", "tier"))
+        return found[0].union(found[1]).dropDuplicates(["shard"])
 
     @contextmanager
     def _packed(self) -> Iterator[None]:

@@ -43,6 +43,9 @@ def test_tiers_merge_like_with_like(spark, tmp_path):
     assert listed(store, [100_000, 110_000, 40_000_000]) == [100_000, 110_000]
     assert listed(store, [100_000, 40_000_000]) == []
     assert listed(store, [1, 2, 65_536, 131_071, 131_073, 200_000]) == [1, 2, 65_536, 131_071, 131_073, 200_000]
+    border = 2 * 65_536
+    assert listed(store, [border - 10, border + 10, 40_000_000]) == [border - 10, border + 10]
+    assert listed(store, [80_000, 230_000]) == []  # not similar
     store.target = 150_000
     assert listed(store, [100_000, 110_000]) == []  # both are above half the target
 
