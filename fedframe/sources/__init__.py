@@ -2,9 +2,9 @@
 
 from .base import Column, Connection
 from .config import connect, load_config, open_all
-from .files import DocumentConnection, ParquetConnection
+from .files import CsvConnection, DocumentConnection, OrcConnection, ParquetConnection
 from .jdbc import JdbcConnection
 from .memory import MemoryConnection
 from .sqlite import SqliteConnection
 
-__all__ = ["Column", "Connection", "DocumentConnection", "JdbcConnection", "MemoryConnection", "ParquetConnection", "SqliteConnection", "connect", "load_config", "open_all"]
+__all__ = ["Column", "Connection", "CsvConnection", "DocumentConnection", "JdbcConnection", "MemoryConnection", "OrcConnection", "ParquetConnection", "SqliteConnection", "connect", "load_config", "open_all"]

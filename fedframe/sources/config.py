@@ -17,7 +17,7 @@ from pyspark.sql import SparkSession
 from ..errors import ConfigError
 from ..operators.ai import AiConfig
 from .base import Connection
-from .files import DocumentConnection, ParquetConnection
+from .files import CsvConnection, DocumentConnection, OrcConnection, ParquetConnection
 from .jdbc import DRIVERS, JdbcConnection, jdbc_url
 from .memory import MemoryConnection
 from .sqlite import SqliteConnection
@@ -63,6 +63,10 @@ def connect(spark: SparkSession, entry: dict) -> Connection:
         raise ConfigError(f"{name}: uri or path is missing")
     if kind == "parquet":
         return ParquetConnection(spark, name, where, schema)
+    if kind == "orc":
+        return OrcConnection(spark, name, where, schema)
+    if kind == "csv":
+        return CsvConnection(spark, name, where, schema, entry.get("options"))
     if kind == "document":
         if where.startswith("mongodb"):
             raise ConfigError(f"{name}: document collections are read from a folder of JSON files, not from a server")

@@ -1,4 +1,4 @@
-"""Folders of files: Parquet tables and JSON document collections.
+"""Folders of files: Parquet and ORC tables, CSV files to read, and JSON document collections.
 
 A table is <root>[/<schema>]/<table>.<suffix>, one file or a folder of files.
 Statements that change rows write the whole new table beside the old one and then
@@ -154,6 +154,45 @@ class ParquetConnection(_FileConnection):
         df.write.mode(mode).parquet(path)
 
 
+class OrcConnection(_FileConnection):
+    """A folder of ORC tables."""
+
+    kind, suffix = "orc", ".orc"
+
+    def _read(self, path: str) -> DataFrame:
+        return self.spark.read.orc(path)
+
+    def _write(self, df: DataFrame, path: str, mode: str) -> None:
+        df.write.mode(mode).orc(path)
+
+
+class CsvConnection(_FileConnection):
+    """A folder of CSV files with header lines, to read only.
+
+    Columns are strings, so that no pass over the data guesses types; options are
+    those of Spark's reader (as sep or multiLine). A quote in a quoted field is written
+    twice. An empty field is null, quoted or not.
+    """
+
+    kind, suffix, alterable = "csv", ".csv", False
+
+    def __init__(self, spark: SparkSession, name: str, root: str, schema: str | None = None, options: dict[str, str] | None = None):
+        super().__init__(spark, name, root, schema)
+        self.options = {"header": "true", "escape": '"', **(options or {})}
+
+    def _read(self, path: str) -> DataFrame:
+        return self.spark.read.options(**self.options).csv(path)
+
+    def _write(self, df: DataFrame, path: str, mode: str) -> None:
+        raise Unsupported("csv tables are only read")
+
+    def drop(self, table: str, schema: str | None = None) -> None:
+        raise Unsupported("csv tables are only read")
+
+    def rename(self, table: str, new: str, schema: str | None = None) -> None:
+        raise Unsupported("csv tables are only read")
+
+
 class DocumentConnection(_FileConnection):
     """A folder of collections of JSON documents, one document a line."""
 

@@ -8,19 +8,19 @@ from fedframe import Engine
 from fedframe.errors import ConfigError, ConnectionNotFound, ConstraintError, FedError, GuardError, Unsupported
 from fedframe.operators.ai import AiConfig, ask
 from fedframe.operators.key_join import key_join
-from fedframe.sources import DocumentConnection, JdbcConnection, MemoryConnection, ParquetConnection, SqliteConnection, load_config
+from fedframe.sources import CsvConnection, DocumentConnection, JdbcConnection, MemoryConnection, OrcConnection, ParquetConnection, SqliteConnection, load_config
 
 
 @pytest.fixture
 def engine(spark, sf, tmp_path):
-    return Engine(spark, [ParquetConnection(spark, "pq", sf), ParquetConnection(spark, "w", f"{tmp_path}/w"), MemoryConnection(spark, "mem"), DocumentConnection(spark, "doc", f"{tmp_path}/doc"), SqliteConnection(spark, "lite", f"{tmp_path}/l.db")])
+    return Engine(spark, [ParquetConnection(spark, "pq", sf), ParquetConnection(spark, "w", f"{tmp_path}/w"), MemoryConnection(spark, "mem"), DocumentConnection(spark, "doc", f"{tmp_path}/doc"), OrcConnection(spark, "orc", f"{tmp_path}/orc"), SqliteConnection(spark, "lite", f"{tmp_path}/l.db")])
 
 
 def rows(df):
     return sorted(map(tuple, df.collect()), key=repr)
 
 
-KINDS = ["w", "mem", "doc", "lite"]
+KINDS = ["w", "mem", "doc", "orc", "lite"]
 
 
 @pytest.mark.parametrize("c", KINDS)
@@ -83,6 +83,17 @@ def test_alter(engine, c):
     assert rows(engine.sql(f"find u@{c}")) == [(2, "c"), (5, "y"), (None, "c")]
 
 
+def test_csv_is_read_only(spark, tmp_path):
+    (tmp_path / "t.csv").write_text('a,b\n1,"x, ""y"""\n,""\n3,\n')
+    engine = Engine(spark, [CsvConnection(spark, "csv", str(tmp_path))])
+    assert rows(engine.sql("find [a::int as a, b] from t")) == sorted([(1, 'x, "y"'), (None, None), (3, None)], key=repr)
+    assert [r[0] for r in engine.sql("show tables").collect()] == ["t"]
+    for bad in ("create t {a: 1}", "update t set a = 1", "remove t", "drop table t", "alter table t add column c int", "create table u (a int)", "find t >> u"):
+        with pytest.raises(Unsupported):
+            engine.sql(bad)
+    assert rows(engine.sql("find [count(*) as n] from t")) == [(3,)]
+
+
 def test_documents_cannot_be_altered(engine):
     engine.sql("create table t@doc (a int)")
     with pytest.raises(Unsupported):
