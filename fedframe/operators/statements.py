@@ -69,7 +69,7 @@ def _aligned(engine: Engine, conn: Connection, t: n.Table, columns: list[Column]
     given = {c.lower(): c for c in df.columns}
     if extra := set(given) - {c.name.lower() for c in columns}:
         raise FedError(f"{t.name} has no column {', '.join(sorted(extra))}")
-    types = {f.name.lower(): f.dataType for f in conn.frame(t.name, t.schema).schema.fields}
+    types = {f.name.lower(): f.dataType for f in conn.fields(t.name, t.schema).fields}
     out = []
     for c in columns:
         value = F.col(quote(given[c.name.lower()])) if c.name.lower() in given else F.expr(c.default) if c.default is not None else F.lit(None)
@@ -140,8 +140,8 @@ def _append(engine: Engine, conn: Connection, t: n.Table, df: DataFrame) -> int:
         conn.append(t.name, df, t.schema)
         return df.count()
     counted, seen = _observed(df)
-    conn.append(t.name, counted, t.schema)
-    return int(seen.get["rows"])
+    written = conn.append(t.name, counted, t.schema)
+    return int(seen.get["rows"]) if written is None else written
 
 
 def update(engine: Engine, s: n.Update, params: Params) -> int:

@@ -7,8 +7,11 @@ in another order. Integers that Spark has as int are cast, so that types agree.
 
 from __future__ import annotations
 
+import atexit
 import json
+import os
 import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -392,7 +395,7 @@ def _federated(spark: SparkSession, sf_dir: str) -> Engine:
     """Parquet tables beside a database (nation, region), a SQLite file (supplier) and the session (part).
 
     The database is made anew for each call in the driver's memory, which stands for a
-    server; the file lies in the shared folder, if that is a mounted one.
+    server (executors elsewhere read a copy); the file lies in the shared folder, if that is a mounted one.
     """
     engine = _reading(spark, sf_dir)
     shared = re.sub("^file:(//)?(?=/)", "", _scratch(spark))
@@ -460,7 +463,9 @@ def _fed_key_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _fed_key_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dialect's join of a filtered Parquet table to a database's: over a thousand keys, in several lists."""
     engine = _reading(spark, sf_dir)
-    engine.add(JdbcConnection(spark, f"kb{uuid.uuid4().hex[:8]}", "derby", f"jdbc:derby:memory:kb{uuid.uuid4().hex};create=true"))
+    home = os.path.realpath(tempfile.mkdtemp(prefix="fedframe-"))  # on the driver's disk, as orders may be many
+    atexit.register(shutil.rmtree, home, ignore_errors=True)
+    engine.add(JdbcConnection(spark, f"kb{uuid.uuid4().hex[:8]}", "derby", f"jdbc:derby:{home}/kb;create=true"))
     engine.connections["db"] = list(engine.connections.values())[-1]
     engine.sql("find [o_orderkey as O_ORDERKEY, o_orderpriority as O_PRIORITY] from orders@pq >> ORDERS@db")
     return engine.sql("find [l.l_orderkey, l.l_linenumber, o.O_PRIORITY as priority] from lineitem@pq l join ORDERS@db o on l.l_orderkey = o.O_ORDERKEY where l.l_quantity > 48")

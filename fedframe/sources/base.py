@@ -6,6 +6,7 @@ from abc import ABC, abstractmethod
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from ..errors import Unsupported
 
@@ -55,11 +56,16 @@ class Connection(ABC):
     def drop(self, table: str, schema: str | None = None) -> None: ...
 
     @abstractmethod
-    def append(self, table: str, df: DataFrame, schema: str | None = None) -> None: ...
+    def append(self, table: str, df: DataFrame, schema: str | None = None) -> int | None:
+        """Add rows; returns their number where the connection writes and counts them itself."""
 
     def frame(self, table: str, schema: str | None = None) -> DataFrame:
         return self.spark.sql(f"SELECT * FROM {self.relation(table, schema)}")
 
+    def fields(self, table: str, schema: str | None = None) -> T.StructType:
+        """The table's columns as Spark reads them."""
+        return self.frame(table, schema).schema
+
     def exists(self, table: str, schema: str | None = None) -> bool:
         return table.lower() in {x.lower() for x in self.tables(schema)}
 
