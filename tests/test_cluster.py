@@ -16,6 +16,7 @@ from fedframe.sources.jdbc import in_driver
 ROOT = Path(__file__).resolve().parent.parent
 QUERIES = [
     "fed_aggregate_pushed",
+    "fed_documents",
 ]
 
 CODE = """
