@@ -17,6 +17,7 @@ ROOT = Path(__file__).resolve().parent.parent
 QUERIES = [
     "fed_aggregate_pushed",
     "fed_documents",
+    "fed_key_batches",
 ]
 
 CODE = """
