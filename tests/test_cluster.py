@@ -18,6 +18,7 @@ QUERIES = [
     "fed_aggregate_pushed",
     "fed_documents",
     "fed_key_batches",
+    "fed_orc",
 ]
 
 CODE = """
