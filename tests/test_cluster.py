@@ -19,6 +19,7 @@ QUERIES = [
     "fed_documents",
     "fed_key_batches",
     "fed_orc",
+    "refused_statements",
 ]
 
 CODE = """
