@@ -20,6 +20,7 @@ QUERIES = [
     "fed_key_batches",
     "fed_orc",
     "refused_statements",
+    "fed_cross_with_limit",
 ]
 
 CODE = """
