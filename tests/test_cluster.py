@@ -21,6 +21,7 @@ QUERIES = [
     "fed_orc",
     "refused_statements",
     "fed_cross_with_limit",
+    "fed_full_join",
 ]
 
 CODE = """
