@@ -22,6 +22,7 @@ QUERIES = [
     "refused_statements",
     "fed_cross_with_limit",
     "fed_full_join",
+    "fed_key_join",
 ]
 
 CODE = """
