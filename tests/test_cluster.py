@@ -23,6 +23,7 @@ QUERIES = [
     "fed_cross_with_limit",
     "fed_full_join",
     "fed_key_join",
+    "fed_persist_to_jdbc",
 ]
 
 CODE = """
