@@ -24,6 +24,7 @@ QUERIES = [
     "fed_full_join",
     "fed_key_join",
     "fed_persist_to_jdbc",
+    "fed_cte",
 ]
 
 CODE = """
