@@ -25,6 +25,7 @@ QUERIES = [
     "fed_key_join",
     "fed_persist_to_jdbc",
     "fed_cte",
+    "fed_join_parquet_jdbc",
 ]
 
 CODE = """
