@@ -26,6 +26,7 @@ QUERIES = [
     "fed_persist_to_jdbc",
     "fed_cte",
     "fed_join_parquet_jdbc",
+    "fed_left_join",
 ]
 
 CODE = """
