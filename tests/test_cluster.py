@@ -27,6 +27,7 @@ QUERIES = [
     "fed_cte",
     "fed_join_parquet_jdbc",
     "fed_left_join",
+    "fed_triple",
 ]
 
 CODE = """
