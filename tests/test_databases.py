@@ -240,3 +240,23 @@ def test_filtered_branches_are_joined_first(spark, sf):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     depth = {t: len(line) - len(line.lstrip(" :+-|")) for line in plan.splitlines() for t in ("c_custkey", "r_regionkey") if "Relation" in line and t in line}
     assert depth["r_regionkey"] > 0
+
+
+def test_filtered_joins_of_the_first_table_lead(spark, sf):
+    from duck import assert_same
+
+    from fedframe.plans.lower import Lower, leading_joins
+    from fedframe.queries import FEDERATED, TEXTS
+
+    triple = parse(FEDERATED["fed_triple"][0])[0]
+    assert leading_joins(triple) == [2]
+    text = Lower(lambda t: t.name).query(triple)
+    assert text.index("JOIN part") < text.index("JOIN supplier") < text.index("JOIN NATION")
+    assert leading_joins(parse(TEXTS["join_multi5"][0])[0]) == [0]
+    ends = " join c on a.k = c.k where c.f = 1"
+    assert leading_joins(parse(f"find [a.x] from a join b on a.k = b.k{ends}")[0]) == [1]
+    for other in ("a join b on k = b.k", "a left join b on a.k = b.k", "a, d join b on a.k = b.k", "a join b on a.k = b.k and a.k in (find [k] from d)"):
+        assert leading_joins(parse(f"find [a.x] from {other}{ends}")[0]) == []
+    engine = Engine(spark, [ParquetConnection(spark, "pq", sf)])
+    asked = "find [l.l_orderkey, l.l_linenumber, s.s_name, p.p_name] from lineitem l join supplier s on l.l_suppkey = s.s_suppkey join part p on p.p_partkey = l.l_partkey where p.p_size < 10"
+    assert_same(engine.sql(asked), asked.replace("find [", "SELECT ").replace("] from", " FROM"), sf)
