@@ -19,6 +19,8 @@ WHITESPACE = " \t\n\x0b\x0c\r"
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
 #: Bytes of a batch that a Python worker is handed, unless one row has more.
 BATCH_BYTES = 8 << 20
+#: Rows that a Parquet scan decodes at once, where short_reads() asks for it.
+READ_ROWS = 256
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -59,6 +61,12 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def short_reads(df: DataFrame) -> DataFrame:
+    """df, with Parquet decoded READ_ROWS rows at once from now on: by Spark's 4096, a column of long texts is one array of many MB, which grows the heap."""
+    df.sparkSession.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
+    return df
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """run, after whose last batch the worker gives freed memory back: it stays alive, idle beside the tasks that follow."""
 

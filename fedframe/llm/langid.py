@@ -19,20 +19,16 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.internal import InternalFunction
 
-from .common import materialise, small_batches, split_words, tidy
+from .common import short_reads, small_batches, split_words, tidy
 
 MARK = "▁"
 #: Labelled documents a language that are fitted on.
 MAX_DOCS_PER_LANGUAGE = 400
 ROUNDS = 2
-#: Parts of a language's rows that they are chosen from separately first.
-PARTS = 1024
-#: The chosen documents' ids are broadcast if there are at most so many.
-MAX_BROADCAST_ROWS = 50_000
 #: Longer words are fitted as several, so that a probability doesn't vanish.
 FIT_LENGTH = 100
 #: Of a language's probability, the share spread evenly over all pieces.
@@ -206,6 +202,19 @@ class Model:
         return self.languages[best], float(1 / np.exp(scores - scores[best]).sum())
 
 
+def choose(docs: DataFrame, id_col: str, text_col: str, lang_col: str, max_docs: int) -> DataFrame:
+    """lang and text of the first max_docs rows a language by a hash of the id, and of all that have the last one's hash.
+
+    A task keeps max_docs hashes a language at most. What is joined is one row a
+    language, the last one's hash, so that nothing is sorted, no text is shuffled
+    and no table is written.
+    """
+    rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
+    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string")).alias("h"))
+    last = rows.groupBy(F.col("lang").alias("of")).agg(F.array_max(InternalFunction.collect_top_k(F.col("h"), max_docs, True)).alias("last"))
+    return rows.join(F.broadcast(last), (F.col("lang") == F.col("of")) & (F.col("h") <= F.col("last"))).select("lang", "text")
+
+
 def train(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_DOCS_PER_LANGUAGE, rounds: int = ROUNDS) -> Model:
     """Fit on at most max_docs documents a language, chosen by a hash of their id and taken whole.
 
@@ -213,17 +222,7 @@ def train(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_co
     each language is fitted in a task of its own; the driver gets at most the
     vocabulary for each language. Without any row the model has no language.
     """
-    rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    ids = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("h"))
-    ids = ids.withColumn("part", F.pmod("h", F.lit(PARTS)))
-    for within in (["lang", "part"], ["lang"]):  # first among a part of a language's rows each, then among those
-        turn = F.row_number().over(W.partitionBy(*within).orderBy("h", "id"))
-        ids = ids.withColumn("turn", turn).where(F.col("turn") <= max_docs)
-    chosen = ids.select(F.col("id").alias("chosen"), F.col("lang").alias("of")).distinct()
-    chosen = materialise(chosen, "chosen")
-    if chosen.count() <= MAX_BROADCAST_ROWS:  # else texts are shuffled
-        chosen = F.broadcast(chosen)
-    texts = rows.join(chosen, F.col(id_col).eqNullSafe(F.col("chosen")) & (F.col(lang_col) == F.col("of"))).select(F.col("of").alias("lang"), F.col(text_col).alias("text"))
+    texts = choose(short_reads(docs), id_col, text_col, lang_col, max_docs)
     counts = texts.select("lang", F.explode(split_words(F.col("text"))).alias("word")).where("word <> ''").groupBy("lang", "word").count()
 
     def one(key: tuple, table: pa.Table) -> pa.Table:
@@ -331,7 +330,7 @@ def identify(docs: DataFrame, model: Model, vocabulary_path: str, text_col: str
                         held.forget()
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
 
-    return small_batches(docs.select(*keep, F.col(text_col).alias("__text"))).mapInArrow(tidy(run), schema)
+    return small_batches(short_reads(docs).select(*keep, F.col(text_col).alias("__text"))).mapInArrow(tidy(run), schema)
 
 
 def held_out(id_col: str | Column = "doc_id") -> Column:

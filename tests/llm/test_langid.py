@@ -1,10 +1,14 @@
 import zlib
+from pathlib import Path
 
 import numpy as np
+import pytest
 from odd import odd_rows
 from pyspark.sql import functions as F
 
 from fedframe.llm import langid, queries
+from fedframe.llm.common import READ_ROWS
+from fedframe.shared import shared_dir
 
 PATH = queries.tokenizer("piece_bpe_32k.model")
 VOCABULARY = langid.vocabulary_of(PATH)
@@ -74,3 +78,25 @@ def test_only_the_text_counts(docs):
     a = langid.identify(docs, model, PATH).collect()
     b = langid.identify(docs.withColumn("lang", F.lit("xx")).withColumn("source", F.lit(None).cast("string")).repartition(3), model, PATH).collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+
+
+@pytest.mark.parametrize("max_docs", [1, 2, 5, 400])
+def test_first_documents_by_hash_are_chosen(odd, max_docs):
+    rows = odd.where("text is not null and lang is not null").selectExpr("lang", "text", "xxhash64(cast(doc_id as string)) as hash").collect()
+    want = []
+    for lang in {r.lang for r in rows}:
+        own = sorted(r.hash for r in rows if r.lang == lang)
+        last = own[: max_docs][-1]
+        want += [(r.lang, r.text) for r in rows if r.lang == lang and r.hash <= last]  # copies of the last one's id too
+    assert sorted(map(tuple, langid.choose(odd, "doc_id", "text", "lang", max_docs).collect())) == sorted(want)
+
+
+def test_training_sorts_and_writes_nothing_and_reads_few_rows_at_once(spark, docs):
+    there = lambda: set(Path(shared_dir(spark).removeprefix("file:"), "fedframe").glob("*"))
+    before = there()
+    spark.conf.unset("spark.sql.parquet.columnarReaderBatchSize")
+    langid.train(docs, PATH, max_docs=5)
+    assert there() == before  # the chosen ids were a table of a file for each task, left there
+    assert spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == str(READ_ROWS)
+    plan = langid.choose(docs, "doc_id", "text", "lang", 5)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_top_k" in plan and "Window" not in plan and "Sort" not in plan
